@@ -71,11 +71,11 @@ def valid_detections(t):
     return t.embeddings.select("vec_id", D.valid_payload(payload).alias("valid"))
 
 
-@query("""select claim_id, det_seq, round(x1 * 2.0, 6) as x1, round(y2 * 1.125, 6) as y2,
-  round(x1 * 2.0 / 1280, 6) as x1_rel, round(y2 * 1.125 / 720, 6) as y2_rel from {detections}""")
+@query("""select claim_id, det_seq, x1 * 2.0::double as x1, y2 * 1.125::double as y2,
+  x1 * 2.0::double / 1280 as x1_rel, y2 * 1.125::double / 720 as y2_rel from {detections}""")
 def rescale_boxes(t):
     out = D.rescale_boxes(t.detections, F.lit(640.0), F.lit(640.0))
-    return out.select("claim_id", "det_seq", *[F.round(c, 6).alias(c) for c in ("x1", "y2", "x1_rel", "y2_rel")])
+    return out.select("claim_id", "det_seq", "x1", "y2", "x1_rel", "y2_rel")
 
 
 @query("""select event_id % 300 as fps, count(*) as kept from {events}
@@ -267,9 +267,6 @@ def best_frame(t):
     return D.best_frame(t.detections, frames)
 
 
-IOU_SQL = """case when u > 0 then i / u else 0 end"""
-
-
 @query("""select a.claim_id, a.det_seq as a_seq, b.det_seq as b_seq,
   round(case when ua - i > 0 then i / (ua - i) else 0 end, 6) as iou from (
   select a.claim_id, a.det_seq, b.det_seq as bs,
@@ -285,3 +282,102 @@ def box_iou_pairs(t):
         F.col("a.label") == F.col("b.label")) & (F.col("a.det_seq") < F.col("b.det_seq"))
     return a.join(b, same).select("a.claim_id", F.col("a.det_seq").alias("a_seq"), F.col("b.det_seq").alias("b_seq"),
                                   F.round(box_iou(side("a"), side("b")), 6).alias("iou"))
+
+
+KEEP_CTE = """cand as (
+  select claim_id, list([{'det_seq': det_seq, 'label': label, 'ln': %s, 'confidence': confidence, 'severity': severity,
+      'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'f': frame_index}] order by -confidence, det_seq) as items
+  from {detections} group by 1),
+walk as (select claim_id, list_reduce(items, lambda acc, x: case when len(acc) >= 12 or len(list_filter(acc, lambda k:
+      k.ln = x[1].ln and case when k.f = x[1].f then (%s) >= 0.35 else (%s) >= 0.25 or
+        sqrt(pow((k.x1 + k.x2) / 2 / 1280 - (x[1].x1 + x[1].x2) / 2 / 1280, 2)
+          + pow((k.y1 + k.y2) / 2 / 720 - (x[1].y1 + x[1].y2) / 2 / 720, 2)) <= 0.12 end)) > 0
+    then acc else list_concat(acc, x) end) as kept from cand),
+kept as (select claim_id, idx - 1 as keep_idx, kept[idx].det_seq as det_seq, kept[idx].label as label,
+    kept[idx].ln as label_norm, kept[idx].confidence as confidence, kept[idx].severity as severity, kept[idx].x1 as x1, kept[idx].y1 as y1,
+    kept[idx].x2 as x2, kept[idx].y2 as y2
+  from (select claim_id, kept, unnest(range(1, len(kept) + 1)) as idx from walk))"""
+_INTER = ("(greatest(0.0::double, least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1)) * "
+          "greatest(0.0::double, least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1)))")
+_IOU = (f"{_INTER} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1) - {_INTER})")
+KEEP_CTE = KEEP_CTE % (NORM, _IOU, _IOU)
+
+
+@query(f"with {KEEP_CTE} select claim_id, keep_idx, det_seq, label_norm, confidence from kept")
+def dedupe_detections(t):
+    return D.dedupe_detections(t.detections).select("claim_id", "keep_idx", "det_seq", "label_norm", "confidence")
+
+
+@query(f"""with {KEEP_CTE}, res as (select claim_id, label || '-' || keep_idx as detection_id, keep_idx, severity from kept)
+select k.claim_id, k.keep_idx, k.severity as severity, case when k.severity is null then null else 'note ' || k.keep_idx end as note
+from kept k where (k.det_seq % 7) <> 0""")
+def attach_severity(t):
+    kept = D.dedupe_detections(t.detections)
+    answered = kept.where(F.col("det_seq") % 7 != 0).select(
+        "claim_id", D.detection_id(F.col("label"), F.col("keep_idx")).alias("detection_id"), "keep_idx", "severity")
+    final = answered.withColumn("result_seq", F.lit(2)).withColumn("note", F.concat(F.lit("note "), "keep_idx"))
+    stale = answered.withColumn("result_seq", F.lit(1)).withColumn("severity", F.lit("minor")).withColumn("note", F.lit("old"))
+    priced, unanswered = D.attach_severity(kept.drop("severity"), final.unionByName(stale))
+    cols = ["claim_id", "keep_idx", "severity", F.when(F.col("severity").isNotNull(), F.col("severity_note")).alias("note")]
+    return priced.select(*cols).unionByName(unanswered.where(F.col("det_seq") % 7 != 0).select(*cols))
+
+
+@query("""with req as (select distinct claim_id, label || '-' || (det_seq % 5) as detection_id from {detections}),
+ret as (select claim_id, label || '-' || (det_seq % 5 + case when det_seq % 17 = 0 then 9 else 0 end) as detection_id from {detections} where det_seq % 13 <> 0),
+got as (select claim_id, detection_id, count(*) as times from ret group by 1, 2),
+j as (select claim_id, r.detection_id as w, g.times from req r full join got g using (claim_id, detection_id))
+select claim_id, count(*) filter (where times is null) as missing, count(*) filter (where w is null) as unexpected,
+  count(*) filter (where times > 1) as duplicated,
+  count(*) filter (where times is null) + count(*) filter (where w is null) + count(*) filter (where times > 1) = 0 as complete
+from j group by 1""")
+def detection_ids_complete(t):
+    seq = F.col("det_seq")
+    ident = lambda extra: D.detection_id(F.col("label"), seq % 5 + extra).alias("detection_id")
+    returned = t.detections.where(seq % 13 != 0).select("claim_id", ident(F.when(seq % 17 == 0, 9).otherwise(0)))
+    return D.ids_complete(t.detections.select("claim_id", ident(F.lit(0))), returned)
+
+
+@query(f"""with {KEEP_CTE} select claim_id,
+  'Detected: ' || string_agg(label || ' (' || cast(floor(confidence * 100) as bigint) || '%)', ', ' order by keep_idx) as summary,
+  cast(max(floor(confidence * 100)) as bigint) as peak_pct, count(*) as areas,
+  count(*) filter (where severity = 'severe') as n_severe, count(*) filter (where severity = 'minor') as n_minor
+from kept group by 1""")
+def detection_summary(t):
+    return D.detection_summary(D.dedupe_detections(t.detections)).select(
+        "claim_id", "summary", "peak_pct", "areas", "n_severe", "n_minor")
+
+
+@query("""with r as (select claim_id, det_seq, least(1.0::double, confidence * 1.2::double) as c,
+    det_seq % 3 = 0 and least(1.0::double, confidence * 1.2::double) >= 0.6 as f from {detections})
+select claim_id, bool_or(f) as flagged, case when bool_or(f) then max(c) filter (where f) else max(c) end as confidence,
+  case when bool_or(f) then 'seen ' || arg_min(det_seq, (-c, det_seq)) filter (where f) else '' end as evidence
+from r group by 1""")
+def screen_flag_rollup(t):
+    seq = F.col("det_seq")
+    results = t.detections.select(
+        "claim_id", seq.alias("keep_idx"), (F.col("confidence") * 1.2).alias("replay_confidence"),
+        F.when(seq % 3 == 0, "yes").otherwise("no").alias("replay_suspected"),
+        F.array(F.concat(F.lit("seen "), seq.cast("string"))).alias("replay_evidence"))
+    return D.replay_flag(results).withColumn("evidence", F.array_join("evidence", "|"))
+
+
+@query(f"""with {KEEP_CTE}, {LABELS_CTE}, first as (select claim_id, label, arg_min(det_seq, keep_idx) as first_seq from kept group by 1, 2)
+select claim_id, keep_idx, first_seq from kept join first using (claim_id, label)""")
+def first_by_label(t):
+    kept = D.dedupe_detections(t.detections)
+    items = kept.select("claim_id", "label", "keep_idx", F.col("det_seq").alias("first_seq"))
+    return D.first_by_label(kept, items, "keep_idx", ["first_seq"]).select("claim_id", "keep_idx", "first_seq")
+
+
+@query("""select l_orderkey as request_id, min(l_suppkey % 3) = max(l_suppkey % 3) as single_source from {lineitem} group by 1""")
+def single_source(t):
+    rows = t.lineitem.select(F.col("l_orderkey").alias("request_id"), (F.col("l_suppkey") % 3).alias("image"))
+    return D.single_source(rows, "request_id", "image")
+
+
+@query("""with cand as (select claim_id, list([{'s': det_seq, 'x1': x1, 'y1': y1}] order by det_seq) as items from {detections} group by 1),
+walk as (select claim_id, list_reduce(items, lambda acc, x: case when len(list_filter(acc, lambda k:
+    abs(k.x1 - x[1].x1) < 300 and abs(k.y1 - x[1].y1) < 300)) > 0 then acc else list_concat(acc, x) end) as kept from cand)
+select claim_id, unnest(kept).s as det_seq from walk""")
+def suppress_close_boxes(t):
+    return D.suppress_close_boxes(t.detections, "claim_id", "det_seq", 300.0).select("claim_id", "det_seq")
