@@ -114,7 +114,7 @@ def gps_dms_to_decimal(text: Column, ref: Column) -> Column:
     def number(tok: Column) -> Column:
         num = F.split_part(tok, F.lit("/"), F.lit(1)).cast("double")
         den = F.nullif(F.split_part(tok, F.lit("/"), F.lit(2)), F.lit("")).cast("double")
-        return num / F.coalesce(F.greatest(den, F.lit(1e-9)), F.lit(1.0))
+        return num / F.when(den.isNull(), 1.0).otherwise(F.greatest(den, F.lit(1e-9)))
 
     part = lambda i: number(F.get(tokens, F.lit(i)))
     value = part(0) + part(1) / 60.0 + part(2) / 3600.0

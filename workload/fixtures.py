@@ -75,7 +75,7 @@ select doc_id, concat(text, case doc_id % 7 when 0 then ' CapCut ' when 1 then '
     when 4 then ' +19.0760+072.8777/ ' when 5 then ' whatsapp edited ' else '' end) as body
 from {documents}""",
     "queue_claims": """
-select event_id as claim_id, user_id as owner_id, cast(value * 1000 as bigint) as size_bytes,
+select event_id as claim_id, user_id as owner_id, cast(floor(value * 1000) as bigint) as size_bytes,
   event_type <> 'view' as queued, event_type = 'error' as failed, ts as last_modified,
   case event_type when 'view' then 'approved' when 'click' then 'pending_upload'
     when 'signup' then 'processing' when 'purchase' then 'rejected' else 'failed_upload' end as status
@@ -90,8 +90,37 @@ select c.event_id as claim_id, c.ts as capture_ts,
   cast(19.05 + (c.event_id % 40) * 0.0005 as double) as lat,
   cast(72.85 + ((c.event_id * 7) % 40) * 0.0005 as double) as lon
 from {events} c""",
+    "scene_history": """
+select s.claim_id, s.color_sig, e.ts as capture_ts,
+  cast(19.05 + (s.claim_id % 40) * 0.0005 as double) as lat, cast(72.85 + (s.claim_id % 40) * 0.0007 as double) as lon
+from {signatures} s join {events} e on e.event_id = s.claim_id""",
 }
 SPARK = {
+    # One pass over the frames: every frame yields its own row and the planted variants.
+    "match_history": """
+select v.claim_id, v.frame_index, v.bits, v.dbits from {hash_frames} lateral view inline(filter(array(
+  named_struct('claim_id', claim_id, 'frame_index', frame_index, 'bits', bits, 'dbits', bits),
+  if(claim_id % 4 = 0, named_struct('claim_id', 500000 + claim_id, 'frame_index', frame_index, 'bits', bits, 'dbits', bits), null),
+  if(claim_id % 3 = 0 and frame_index < 3, named_struct('claim_id', 600000 + claim_id, 'frame_index', frame_index,
+    'bits', if(frame_index = 1, 0L, ~bits), 'dbits', ~bits), null)), x -> x is not null)) v""",
+    "match_incoming": """
+select v.claim_id, v.frame_index, v.bits, v.dbits from {hash_frames} lateral view inline(filter(array(
+  if(claim_id % 6 = 2 and frame_index in (0, 4), null, named_struct('claim_id', 1000000 + claim_id,
+    'frame_index', cast(case claim_id % 6 when 1 then 4 - frame_index when 2 then frame_index - 1 else frame_index end as int),
+    'bits', bits ^ (case claim_id % 6 when 3 then 4095L when 4 then 8191L when 5 then -1L else 0L end),
+    'dbits', if(claim_id % 6 = 4, bits, ~bits))),
+  if(claim_id % 10 = 3, named_struct('claim_id', claim_id, 'frame_index', frame_index, 'bits', bits, 'dbits', ~bits), null),
+  if(frame_index = 2 and claim_id % 7 = 0, named_struct('claim_id', 2000000 + claim_id, 'frame_index', 0, 'bits', bits, 'dbits', ~bits), null),
+  if(claim_id % 5 = 0 and frame_index < 3, named_struct('claim_id', 3000000 + claim_id, 'frame_index', frame_index,
+    'bits', if(frame_index < 2, 0L, ~bits), 'dbits', 5L), null),
+  if(claim_id % 6 = 3 and frame_index < 4, named_struct('claim_id', 4000000 + claim_id, 'frame_index', 3 - frame_index,
+    'bits', if(frame_index = 2, 0L, ~bits), 'dbits', 5L), null)), x -> x is not null)) v""",
+    "scene_incoming": """
+select 1000000 + a.claim_id as claim_id, zip_with(a.color_sig, b.color_sig, (x, y) -> x * w + y * (1 - w)) as color_sig,
+  a.capture_ts + make_dt_interval(0, 0, 0, (a.claim_id % 11) * 60) as capture_ts,
+  a.lat + (a.claim_id % 4) * 0.0004D as lat, a.lon as lon, a.claim_id % 5 as kind
+from (select *, case claim_id % 5 when 0 then 1.0D when 1 then 0.9D when 2 then 0.9D when 3 then 0.7D else 0.1D end as w
+      from {scene_history}) a join {scene_history} b on b.claim_id = case when a.claim_id > 0 then a.claim_id - 1 else 1 end""",
     "hash_frames": """
 select vec_id div 5 as claim_id, cast(vec_id % 5 as int) as frame_index,
   aggregate(transform(e, (x, i) -> if(x > m, shiftleft(1L, cast(i as int)), 0L)), 0L, (a, b) -> a | b) as bits
@@ -99,7 +128,7 @@ from (select vec_id, e, aggregate(e, 0D, (a, b) -> a + b) / size(e) as m
       from (select vec_id, cast(embedding as array<double>) as e from {embeddings}))""",
     "incoming_hashes": """
 select 1000000 + claim_id as claim_id, cast(case claim_id % 6 when 1 then 4 - frame_index when 2 then frame_index - 1
-    else frame_index end as int) as frame_index,
+    else frame_index end as int) as frame_index, bits as base_bits,
   bits ^ (case claim_id % 6 when 3 then 4095L when 4 then 8191L when 5 then -1L else 0L end) as bits
 from {hash_frames} where not (claim_id % 6 = 2 and frame_index in (0, 4))""",
     "signatures": """
@@ -112,6 +141,25 @@ select vec_id div 5 as claim_id, cast(vec_id % 5 as int) as frame_index, cast(p
 from {embeddings} lateral view posexplode(embedding) t as p, v""",
 }
 DUCK = {
+    "match_history": """
+select claim_id, frame_index, bits, bits as dbits from {hash_frames}
+union all select 500000 + claim_id, frame_index, bits, bits from {hash_frames} where claim_id % 4 = 0
+union all select 600000 + claim_id, frame_index, case when frame_index = 1 then 0 else -1 - bits end, -1 - bits
+  from {hash_frames} where claim_id % 3 = 0 and frame_index < 3""",
+    "match_incoming": """
+select claim_id, frame_index, bits, case when (claim_id - 1000000) % 6 = 4 then base_bits else -1 - base_bits end as dbits from {incoming_hashes}
+union all select claim_id, frame_index, bits, -1 - bits from {hash_frames} where claim_id % 10 = 3
+union all select 2000000 + claim_id, 0, bits, -1 - bits from {hash_frames} where frame_index = 2 and claim_id % 7 = 0
+union all select 3000000 + claim_id, frame_index, case when frame_index < 2 then 0 else -1 - bits end, 5
+  from {hash_frames} where claim_id % 5 = 0 and frame_index < 3
+union all select 4000000 + claim_id, 3 - frame_index, case when frame_index = 2 then 0 else -1 - bits end, 5
+  from {hash_frames} where claim_id % 6 = 3 and frame_index < 4""",
+    "scene_incoming": """
+select 1000000 + a.claim_id as claim_id, list_transform(list_zip(a.color_sig, b.color_sig), lambda z: z[1] * w + z[2] * (1 - w)) as color_sig,
+  a.capture_ts + to_seconds((a.claim_id % 11) * 60) as capture_ts,
+  a.lat + (a.claim_id % 4) * 0.0004::double as lat, a.lon as lon, a.claim_id % 5 as kind
+from (select *, case claim_id % 5 when 0 then 1.0::double when 1 then 0.9::double when 2 then 0.9::double when 3 then 0.7::double else 0.1::double end as w
+      from {scene_history}) a join {scene_history} b on b.claim_id = case when a.claim_id > 0 then a.claim_id - 1 else 1 end""",
     "hash_frames": """
 select vec_id // 5 as claim_id, vec_id % 5 as frame_index, h.bits as bits
 from (select vec_id, cast(embedding as double[]) as e, list_avg(cast(embedding as double[])) as m from {embeddings}) t,
@@ -119,7 +167,7 @@ from (select vec_id, cast(embedding as double[]) as e, list_avg(cast(embedding a
       else (1::bigint << (i - 1)::int) end else 0 end) as bigint) as bits from range(1, 65) r(i)) h""",
     "incoming_hashes": """
 select 1000000 + claim_id as claim_id, case claim_id % 6 when 1 then 4 - frame_index when 2 then frame_index - 1
-    else frame_index end as frame_index,
+    else frame_index end as frame_index, bits as base_bits,
   xor(bits, case claim_id % 6 when 3 then 4095::bigint when 4 then 8191::bigint when 5 then (-1)::bigint
     else 0::bigint end) as bits
 from {hash_frames} where not (claim_id % 6 = 2 and frame_index in (0, 4))""",
@@ -133,7 +181,7 @@ select vec_id // 5 as claim_id, cast(vec_id % 5 as int) as frame_index, cast((i
   cast((i - 1) % 8 as int) as x, cast(v as double) * 400 + 128 as v
 from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from {embeddings})""",
 }
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"\{([a-z]\w*)\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
