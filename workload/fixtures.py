@@ -96,6 +96,13 @@ select s.claim_id, s.color_sig, e.ts as capture_ts,
 from {signatures} s join {events} e on e.event_id = s.claim_id""",
 }
 SPARK = {
+    "blocks": """
+select claim_id, frame_index, cell div 8 as r, cell % 8 as c, std,
+  case when flip then 2147483647 - base else base end as bits from (
+  select event_id div 128 as claim_id, event_id div 64 % 2 as frame_index,
+    event_id % 64 as cell, 10 + event_id % 11 as std, (event_id * 31) % 97 = 5 as flip,
+    ((event_id div 128) * 48271 + (case when event_id % 64 = 18 and event_id div 128 % 4 = 0 then 45 else event_id % 64 end) * 69621001) % 2147483647 as base
+  from {events}) b""",
     # One pass over the frames: every frame yields its own row and the planted variants.
     "match_history": """
 select v.claim_id, v.frame_index, v.bits, v.dbits from {hash_frames} lateral view inline(filter(array(
@@ -141,6 +148,13 @@ select vec_id div 5 as claim_id, cast(vec_id % 5 as int) as frame_index, cast(p
 from {embeddings} lateral view posexplode(embedding) t as p, v""",
 }
 DUCK = {
+    "blocks": """
+select claim_id, frame_index, cell // 8 as r, cell % 8 as c, std,
+  case when flip then 2147483647 - base else base end as bits from (
+  select event_id // 128 as claim_id, event_id // 64 % 2 as frame_index,
+    event_id % 64 as cell, 10 + event_id % 11 as std, (event_id * 31) % 97 = 5 as flip,
+    ((event_id // 128) * 48271 + (case when event_id % 64 = 18 and event_id // 128 % 4 = 0 then 45 else event_id % 64 end) * 69621001) % 2147483647 as base
+  from {events}) b""",
     "match_history": """
 select claim_id, frame_index, bits, bits as dbits from {hash_frames}
 union all select 500000 + claim_id, frame_index, bits, bits from {hash_frames} where claim_id % 4 = 0
