@@ -12,8 +12,12 @@ from ..functions import crypto
 IDENTITY = ("claim_id", "owner_id")
 
 
-def _by_identity(events: DataFrame) -> DataFrame:
-    """First arrival, latest state and event count of each (request, claim, owner)."""
+def fold_events(events: DataFrame) -> DataFrame:
+    """First arrival, latest state and event count of each (request, claim, owner).
+
+    Folded rows of disjoint event sets can be folded again by :func:`settle`, so a stream
+    only appends them.
+    """
     outcome = F.col("outcome_json") if "outcome_json" in events.columns else F.lit(None).cast("string")
     arrival = F.struct("updated_at", "event_id")
     return events.groupBy("request_id", *IDENTITY).agg(
@@ -22,6 +26,19 @@ def _by_identity(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"))
 
 
+def settle(folded: DataFrame) -> DataFrame:
+    """Current row per request from folded rows, several per identity allowed."""
+    per_identity = folded.groupBy("request_id", *IDENTITY).agg(
+        F.min("first_seen").alias("first_seen"), F.max("latest").alias("latest"), F.sum("events").alias("events"))
+    winner = F.min(F.struct("first_seen", *IDENTITY, "latest", "events"))
+    return (per_identity.groupBy("request_id").agg(winner.alias("w"), F.sum("events").alias("all_events"))
+            .select("request_id", "w.claim_id", "w.owner_id", F.col("w.latest.state").alias("state"),
+                    F.col("w.latest.outcome_json").alias("outcome_json"),
+                    F.col("w.first_seen.updated_at").alias("created_at"),
+                    F.col("w.latest.updated_at").alias("updated_at"),
+                    (F.col("all_events") - F.col("w.events")).alias("collisions")))
+
+
 def latest_transactions(events: DataFrame) -> DataFrame:
     """Current row per request: creation time of the first event, state of the last.
 
@@ -29,18 +46,12 @@ def latest_transactions(events: DataFrame) -> DataFrame:
     identity are ignored and counted in ``collisions``. Arrival order is
     ``(updated_at, event_id)``.
     """
-    winner = F.min(F.struct("first_seen", *IDENTITY, "latest", "events"))
-    return (_by_identity(events).groupBy("request_id").agg(winner.alias("w"), F.sum("events").alias("all_events"))
-            .select("request_id", "w.claim_id", "w.owner_id", F.col("w.latest.state").alias("state"),
-                    F.col("w.latest.outcome_json").alias("outcome_json"),
-                    F.col("w.first_seen.updated_at").alias("created_at"),
-                    F.col("w.latest.updated_at").alias("updated_at"),
-                    (F.col("all_events") - F.col("w.events")).alias("collisions")))
+    return settle(fold_events(events))
 
 
 def request_collisions(events: DataFrame) -> DataFrame:
     """Identities that tried to reuse a request id they do not own."""
-    groups = _by_identity(events)
+    groups = fold_events(events)
     owner = (groups.groupBy("request_id").agg(F.min(F.struct("first_seen", *IDENTITY)).alias("w"))
              .select("request_id", F.struct("w.claim_id", "w.owner_id").alias("owning")))
     return (groups.join(owner, "request_id").where(F.struct(*IDENTITY) != F.col("owning"))
