@@ -7,7 +7,7 @@ claim and breaks confidence ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -112,10 +112,9 @@ def greedy_keep(rows: DataFrame, key: str, order: list[Column], conflict,
 
     kept = packed.select(key, F.posexplode(F.aggregate("items", F.array().cast(kind), step)).alias("keep_idx", "d"))
     out = kept.select(key, "keep_idx", *[F.col(f"d.{c}").alias(c) for c in fields])
-
-    rest = large.select(key, item.alias("d"))
-    if rest.isEmpty():
+    if large is None:
         return out
+    rest = large.select(key, item.alias("d"))
     rest, rounds = materialize(rest), 0
     while (max_items is None or rounds < max_items) and not rest.isEmpty():
         first = materialize(rest.groupBy(key).agg(F.min("d").alias("top")))

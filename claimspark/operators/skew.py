@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BUCKET_WIDTH = 4096
 
 
-def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of keys with at most ``limit`` rows, rows of the larger keys).
+def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most ``limit`` rows, rows of the larger keys or None).
 
-    The key counts combine map-side, and the list of large keys has at most
-    ``rows / limit`` entries, so AQE decides whether it is broadcast.
+    The check reads only the key columns and combines counts map-side. Without a large
+    key the input is returned untouched; otherwise the list of large keys has at most
+    ``rows / limit`` entries and AQE decides whether it is broadcast.
     """
     large = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    if large.isEmpty():
+        return df, None
+    large = materialize(large)
     return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
 
 

@@ -65,18 +65,19 @@ def append_fingerprints(stored: DataFrame, claims: DataFrame, order: str) -> tup
     return explode_fingerprints(fresh), judged.where(F.col("verdict") == "conflict").select("claim_id", order, "file_sha256")
 
 
-def group_fingerprints(frames: DataFrame) -> DataFrame:
+def group_fingerprints(frames: DataFrame, part_frames: int = 4096) -> DataFrame:
     """Frame rows to claim fingerprints: ordered non-empty hashes, first non-NULL scalars.
 
-    A stored fingerprint has at most twelve sampled frames, so the lists are short. The
-    matching operators do not use this form; they work on frame rows.
+    ``frame_index`` is unique within a claim, so a row never gathers more than
+    ``part_frames`` frames: longer claims continue in further rows (``part`` 1, 2, ...).
+    The matching operators do not use this form; they work on frame rows.
     """
-    df = evolve_schema(frames)
+    df = evolve_schema(frames).withColumn("part", F.floor(F.col("frame_index") / part_frames).cast("int"))
     seq = lambda c: F.transform(
         F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("frame_index", c)))), lambda s: s[c]).alias(f"{c}_seq")
     first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("frame_index")))
     parsed = lambda c, t: F.from_json(F.col(c), t)
-    return df.groupBy("claim_id").agg(
+    return df.groupBy("claim_id", "part").agg(
         F.max_by("file_sha256", "frame_index").alias("file_sha256"), *[seq(c) for c in HASHES],
         first(parsed("color_sig", "array<double>")).alias("color_sig"), first(parsed("motion_sig", "array<int>")).alias("motion_sig"),
         *[first(F.col(c)).alias(c) for c in SCALARS[2:]])

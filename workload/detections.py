@@ -267,21 +267,18 @@ def best_frame(t):
     return D.best_frame(t.detections, frames)
 
 
-@query("""select a.claim_id, a.det_seq as a_seq, b.det_seq as b_seq,
-  round(case when ua - i > 0 then i / (ua - i) else 0 end, 6) as iou from (
-  select a.claim_id, a.det_seq, b.det_seq as bs,
-    greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as i,
-    (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as ua
-  from {detections} a join {detections} b on a.claim_id = b.claim_id and a.frame_index = b.frame_index
-    and a.label = b.label and a.det_seq < b.det_seq) a, lateral (select bs as det_seq) b""")
-def box_iou_pairs(t):
+@query("""with best as (select claim_id, label, arg_min(x1, (-confidence, det_seq)) as bx1, arg_min(y1, (-confidence, det_seq)) as by1,
+    arg_min(x2, (-confidence, det_seq)) as bx2, arg_min(y2, (-confidence, det_seq)) as by2 from {detections} group by 1, 2),
+p as (select d.claim_id, det_seq, greatest(0.0, least(x2, bx2) - greatest(x1, bx1)) * greatest(0.0, least(y2, by2) - greatest(y1, by1)) as i,
+    (x2 - x1) * (y2 - y1) + (bx2 - bx1) * (by2 - by1) as total from {detections} d join best using (claim_id, label))
+select claim_id, det_seq, round(case when total - i > 0 then i / (total - i) else 0 end, 6) as iou from p""")
+def box_iou_to_best(t):
+    """Overlap of every detection with the most confident one of its claim and label."""
     d = t.detections
-    a, b = d.alias("a"), d.alias("b")
-    side = lambda p: [F.col(f"{p}.{c}") for c in D.BOX]
-    same = (F.col("a.claim_id") == F.col("b.claim_id")) & (F.col("a.frame_index") == F.col("b.frame_index")) & (
-        F.col("a.label") == F.col("b.label")) & (F.col("a.det_seq") < F.col("b.det_seq"))
-    return a.join(b, same).select("a.claim_id", F.col("a.det_seq").alias("a_seq"), F.col("b.det_seq").alias("b_seq"),
-                                  F.round(box_iou(side("a"), side("b")), 6).alias("iou"))
+    top = F.min(F.struct((-F.col("confidence")).alias("c"), "det_seq", *D.BOX)).alias("top")
+    best = d.groupBy("claim_id", "label").agg(top)
+    a, b = [F.col(c) for c in D.BOX], [F.col(f"top.{c}") for c in D.BOX]
+    return d.join(best, ["claim_id", "label"]).select("claim_id", d["det_seq"], F.round(box_iou(a, b), 6).alias("iou"))
 
 
 KEEP_CTE = """cand as (
