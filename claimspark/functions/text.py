@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -24,20 +24,37 @@ LABEL_KEYWORDS = (
 )
 
 
-def normalize_damage_label(label: Column) -> Column:
+def flat_label(label: Column) -> Column:
+    """Lower case, separators as single blanks."""
     flat = F.translate(F.lower(F.coalesce(label, F.lit(""))), "_-", "  ")
-    flat = F.trim(F.regexp_replace(flat, r"\s+", " "))
+    return F.trim(F.regexp_replace(flat, r"\s+", " "))
+
+
+def canonical_label(flat: Column) -> Column:
+    """Canonical label of a flattened one."""
     rules = [F.when(F.contains(flat, F.lit(word)), F.lit(name)) for word, name in LABEL_KEYWORDS]
     return F.coalesce(*rules, flat)
 
 
+def normalize_damage_label(label: Column) -> Column:
+    """Canonical label; the flattened text is bound once instead of once per keyword."""
+    return F.get(F.transform(F.array(flat_label(label)), canonical_label), F.lit(0))
+
+
+def with_label_norm(df: DataFrame) -> DataFrame:
+    """Add ``label_norm``. The flattened label stays a column of its own, so generated code
+    evaluates it once per row."""
+    return (df.withColumn("_flat", flat_label(F.col("label")))
+            .withColumn("label_norm", canonical_label(F.col("_flat"))).drop("_flat"))
+
+
 def allowed_classes(reported: Column) -> Column:
     """Set of canonical labels a claimant reported; NULL means no restriction."""
     raw = F.trim(reported)
-    parts = F.transform(F.split(raw, "[,;]"), lambda p: F.trim(p))
-    names = F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), normalize_damage_label))
+    parts = F.transform(F.split(raw, "[,;]"), flat_label)
+    names = F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), canonical_label))
     open_ended = F.lower(raw).isin("", "unspecified", "all", "none")
-    return F.when(raw.isNull() | open_ended | (F.size(names) == 0), None).otherwise(names)
+    return F.when(raw.isNull() | open_ended, None).otherwise(F.when(F.size(names) > 0, names))
 
 
 def normalize_severity(value: Column) -> Column:
@@ -116,6 +133,8 @@ def gps_dms_to_decimal(text: Column, ref: Column) -> Column:
         den = F.nullif(F.split_part(tok, F.lit("/"), F.lit(2)), F.lit("")).cast("double")
         return num / F.when(den.isNull(), 1.0).otherwise(F.greatest(den, F.lit(1e-9)))
 
-    part = lambda i: number(F.get(tokens, F.lit(i)))
-    value = part(0) + part(1) / 60.0 + part(2) / 3600.0
-    return F.when(F.size(tokens) >= 3, F.when(ref.isin("S", "W"), -value).otherwise(value))
+    terms = F.transform(tokens, lambda tok, i: F.when(i < 3, number(tok) / F.pow(F.lit(60.0), i)).otherwise(0.0))
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("n"))
+    add = lambda acc, x: F.struct((acc["v"] + x).alias("v"), (acc["n"] + 1).alias("n"))
+    value = F.aggregate(terms, zero, add, lambda acc: F.when(acc["n"] >= 3, acc["v"]))
+    return F.when(ref.isin("S", "W"), F.lit(-1.0)).otherwise(F.lit(1.0)) * value

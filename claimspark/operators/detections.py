@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.similarity import box_iou
-from ..functions.text import allowed_classes, normalize_bool, normalize_damage_label, normalize_severity
+from ..functions.text import allowed_classes, normalize_bool, normalize_severity, with_label_norm
 from ..session import materialize
 from .skew import split_hot
 
@@ -28,8 +28,7 @@ def valid_payload(detections: Column) -> Column:
 def filter_detections(det: DataFrame, context: DataFrame | None = None,
                       min_confidence: float = K.MIN_CONFIDENCE) -> DataFrame:
     """Confident detections of the classes the claimant reported (all when unspecified)."""
-    out = (det.where(F.col("confidence") >= min_confidence)
-           .withColumn("label_norm", normalize_damage_label(F.col("label"))))
+    out = with_label_norm(det.where(F.col("confidence") >= min_confidence))
     if context is None:
         return out
     wanted = context.select("claim_id", allowed_classes(F.col("reported_damage_type")).alias("_allowed"))
@@ -134,7 +133,7 @@ def dedupe_detections(det: DataFrame, max_items: int = K.MAX_DETECTIONS, fold_li
     """
     cols = ["claim_id", "det_seq", "label", "confidence", *BOX, "frame_index", "frame_width", "frame_height"]
     cols += [c for c in det.columns if c not in cols and c != "label_norm"]
-    rows = det.select(*cols).withColumn("label_norm", normalize_damage_label(F.col("label")))
+    rows = with_label_norm(det.select(*cols))
     return greedy_keep(rows, "claim_id", [-F.col("confidence"), F.col("det_seq")],
                        _same_area, max_items, fold_limit)
 

@@ -9,10 +9,9 @@ from ..functions import constants as K
 from ..functions.numbers import choose, clamp_parts, half_even, half_up
 
 
-def base_cost(label: Column) -> Column:
-    """Reduced base price: exact part name, else the first table entry that contains the
-    label or is contained in it, else the default."""
-    name = F.trim(F.lower(label))
+def named_cost(name: Column) -> Column:
+    """Reduced base price of a trimmed lower-case label: exact part name, else the first
+    table entry that contains the label or is contained in it, else the default."""
     price = lambda c: int(c * K.PRICE_REDUCTION + 0.5)
     exact = choose(name, {k: price(v) for k, v in K.BASE_REPAIR_COST.items()}, F.lit(None).cast("int"))
     partial = [F.when(F.contains(name, F.lit(k)) | F.contains(F.lit(k), name), F.lit(price(v)))
@@ -20,6 +19,12 @@ def base_cost(label: Column) -> Column:
     return F.coalesce(exact, *partial, F.lit(price(K.DEFAULT_REPAIR_COST))).cast("bigint")
 
 
+def with_base_cost(df: DataFrame) -> DataFrame:
+    """Add ``base_cost`` of ``label``; the lowered name is one column, evaluated once."""
+    return (df.withColumn("_name", F.trim(F.lower("label")))
+            .withColumn("base_cost", named_cost(F.col("_name"))).drop("_name"))
+
+
 def severity_multiplier(severity: Column) -> Column:
     return choose(effective_severity(severity), K.SEVERITY_MULTIPLIER, F.lit(1.0))
 
@@ -48,8 +53,7 @@ def repair_items(det: DataFrame, context: DataFrame | None = None) -> DataFrame:
         rows = rows.join(ctx, "claim_id", "left").withColumn(
             "context_multiplier", F.coalesce("context_multiplier", F.lit(1.0)))
     parts = half_up(F.col("base_cost") * F.col("severity_multiplier") * F.col("context_multiplier"))
-    return (rows.withColumn("severity", effective_severity(F.col("severity")))
-            .withColumn("base_cost", base_cost(F.col("label")))
+    return (with_base_cost(rows).withColumn("severity", effective_severity(F.col("severity")))
             .withColumn("severity_multiplier", severity_multiplier(F.col("severity")))
             .withColumn("parts_cost", parts)
             .withColumn("labour_cost", F.greatest(F.lit(K.LABOUR_MINIMUM).cast("bigint"),

@@ -25,10 +25,25 @@ def pack_bits(flags: Column) -> Column:
     return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
 
 
+def bits_above(values: Column, level: Column) -> Column:
+    """Packed bits of the values above ``level``.
+
+    The level is bound as a field of a one-element array. Used directly inside the inner
+    lambda, its expression would be evaluated again for every value.
+    """
+    bound = F.array(F.struct(values.alias("values"), level.alias("level")))
+    return F.get(F.transform(bound, lambda s: pack_bits(F.transform(s["values"], lambda v: v > s["level"]))), F.lit(0))
+
+
 def average_hash(tile: Column) -> Column:
     """Bits of an 8x8 tile (64 values) above its mean."""
-    mean = F.aggregate(tile, F.lit(0.0), lambda s, v: s + v) / F.size(tile)
-    return pack_bits(F.transform(tile, lambda v: v > mean))
+    return bits_above(tile, F.aggregate(tile, F.lit(0.0), lambda s, v: s + v) / F.size(tile))
+
+
+def median_hash(values: Column) -> Column:
+    """Bits of 64 values above their median."""
+    middle = lambda o: (F.get(o, F.lit(31)) + F.get(o, F.lit(32))) / 2
+    return bits_above(values, F.get(F.transform(F.array(F.array_sort(values)), middle), F.lit(0)))
 
 
 def difference_hash(tile: Column) -> Column:
@@ -45,25 +60,23 @@ def _dct(k: int, pos: Column, n: int) -> Column:
 def dct_coefficients(pixels: DataFrame, keys: list[str], n: int, wanted: list[tuple[int, int]]) -> DataFrame:
     """Unscaled DCT-II coefficients of ``n`` x ``n`` tiles as columns ``c_<row>_<col>``.
 
-    The transform is a weighted sum per coefficient, so it combines map-side and needs no
-    tile in one place. Cosines are computed once per pixel.
+    The transform is separable: one weighted sum per row and column frequency, then one
+    per coefficient over the row results. Both combine map-side, so no tile is gathered.
     """
     rows, cols = sorted({u for u, _ in wanted}), sorted({v for _, v in wanted})
-    base = pixels.select(*keys, "v", *[_dct(u, F.col("y"), n).alias(f"_r{u}") for u in rows],
-                         *[_dct(v, F.col("x"), n).alias(f"_c{v}") for v in cols])
-    sums = [F.sum(F.col("v") * F.col(f"_r{u}") * F.col(f"_c{v}")).alias(f"c_{u}_{v}") for u, v in wanted]
-    return base.groupBy(*keys).agg(*sums, F.sum(F.col("v") * F.col("v")).alias("energy"))
+    across = pixels.groupBy(*keys, "y").agg(
+        *[F.sum(F.col("v") * _dct(v, F.col("x"), n)).alias(f"_h{v}") for v in cols], F.sum(F.col("v") * F.col("v")).alias("_e"))
+    down = across.select("*", *[_dct(u, F.col("y"), n).alias(f"_r{u}") for u in rows])
+    return down.groupBy(*keys).agg(*[F.sum(F.col(f"_h{v}") * F.col(f"_r{u}")).alias(f"c_{u}_{v}") for u, v in wanted],
+                                   F.sum("_e").alias("energy"))
 
 
 def dct_hash(pixels: DataFrame, n: int = 8) -> DataFrame:
     """Perceptual hash per frame: the 8x8 lowest frequencies above their median."""
     wanted = [(u, v) for u in range(8) for v in range(8)]
     coef = dct_coefficients(pixels, FRAME, n, wanted)
-    values = F.array(*[F.col(f"c_{u}_{v}") for u, v in wanted])
-    ordered = F.array_sort("_vals")
-    median = (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
-    out = coef.select(*FRAME, values.alias("_vals")).withColumn("_med", median)
-    return out.select(*FRAME, pack_bits(F.transform("_vals", lambda c: c > F.col("_med"))).alias("bits"))
+    values = coef.select(*FRAME, F.array(*[F.col(f"c_{u}_{v}") for u, v in wanted]).alias("_vals"))
+    return values.select(*FRAME, median_hash(F.col("_vals")).alias("bits"))
 
 
 # ---- colour -----------------------------------------------------------------------

@@ -11,6 +11,7 @@ from claimspark.functions.similarity import box_iou
 from claimspark.operators import detections as D
 from claimspark.operators import pricing as P
 from claimspark.operators import risk as R
+from claimspark.session import materialize
 
 from .registry import query
 
@@ -35,7 +36,7 @@ NORM = label_sql("label")
 
 @query(f"select label, {NORM} as label_norm, count(*) as n from {{detections}} group by 1, 2")
 def label_normalize(t):
-    return (t.detections.select("label", T.normalize_damage_label(F.col("label")).alias("label_norm"))
+    return (T.with_label_norm(t.detections.select("label"))
             .groupBy("label", "label_norm").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -171,7 +172,7 @@ def repair_items(t):
        f"select p_name as label, base_cost from (select distinct p_name from {{part}}) p, lateral (select {BASE_SQL.replace('label', 'p_name')} as base_cost) b")
 def fuzzy_price(t):
     labels = t.detections.select("label").distinct().unionByName(t.part.select(F.col("p_name").alias("label")).distinct())
-    return labels.select("label", P.base_cost(F.col("label")).alias("base_cost"))
+    return P.with_base_cost(labels)
 
 
 @query(f"with {CTX_CTE} select claim_id, context_multiplier from ctx")
@@ -309,7 +310,7 @@ def dedupe_detections(t):
 select k.claim_id, k.keep_idx, k.severity as severity, case when k.severity is null then null else 'note ' || k.keep_idx end as note
 from kept k where (k.det_seq % 7) <> 0""")
 def attach_severity(t):
-    kept = D.dedupe_detections(t.detections)
+    kept = materialize(D.dedupe_detections(t.detections))
     answered = kept.where(F.col("det_seq") % 7 != 0).select(
         "claim_id", D.detection_id(F.col("label"), F.col("keep_idx")).alias("detection_id"), "keep_idx", "severity")
     final = answered.withColumn("result_seq", F.lit(2)).withColumn("note", F.concat(F.lit("note "), "keep_idx"))
@@ -361,7 +362,7 @@ def screen_flag_rollup(t):
 @query(f"""with {KEEP_CTE}, {LABELS_CTE}, first as (select claim_id, label, arg_min(det_seq, keep_idx) as first_seq from kept group by 1, 2)
 select claim_id, keep_idx, first_seq from kept join first using (claim_id, label)""")
 def first_by_label(t):
-    kept = D.dedupe_detections(t.detections)
+    kept = materialize(D.dedupe_detections(t.detections))
     items = kept.select("claim_id", "label", "keep_idx", F.col("det_seq").alias("first_seq"))
     return D.first_by_label(kept, items, "keep_idx", ["first_seq"]).select("claim_id", "keep_idx", "first_seq")
 

@@ -129,8 +129,8 @@ select 1000000 + a.claim_id as claim_id, zip_with(a.color_sig, b.color_sig, (x,
 from (select *, case claim_id % 5 when 0 then 1.0D when 1 then 0.9D when 2 then 0.9D when 3 then 0.7D else 0.1D end as w
       from {scene_history}) a join {scene_history} b on b.claim_id = case when a.claim_id > 0 then a.claim_id - 1 else 1 end""",
     "hash_frames": """
-select vec_id div 5 as claim_id, cast(vec_id % 5 as int) as frame_index,
-  aggregate(transform(e, (x, i) -> if(x > m, shiftleft(1L, cast(i as int)), 0L)), 0L, (a, b) -> a | b) as bits
+select vec_id div 5 as claim_id, cast(vec_id % 5 as int) as frame_index, transform(array(struct(e, m)), s ->
+  aggregate(transform(s.e, (x, i) -> if(x > s.m, shiftleft(1L, cast(i as int)), 0L)), 0L, (a, b) -> a | b))[0] as bits
 from (select vec_id, e, aggregate(e, 0D, (a, b) -> a + b) / size(e) as m
       from (select vec_id, cast(embedding as array<double>) as e from {embeddings}))""",
     "incoming_hashes": """
@@ -139,7 +139,7 @@ select 1000000 + claim_id as claim_id, cast(case claim_id % 6 when 1 then 4 - fr
   bits ^ (case claim_id % 6 when 3 then 4095L when 4 then 8191L when 5 then -1L else 0L end) as bits
 from {hash_frames} where not (claim_id % 6 = 2 and frame_index in (0, 4))""",
     "signatures": """
-select vec_id div 5 as claim_id, transform(e, x -> x * x / s) as color_sig
+select vec_id div 5 as claim_id, transform(array(struct(e, s)), r -> transform(r.e, x -> x * x / r.s))[0] as color_sig
 from (select vec_id, e, aggregate(e, 0D, (a, x) -> a + x * x) as s
       from (select vec_id, cast(embedding as array<double>) as e from {embeddings})) where vec_id % 5 = 0""",
     "pixels": """

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from claimspark.functions import similarity as X
 from claimspark.functions import text as T
 from claimspark.operators import matching as M
-from claimspark.session import materialize
 from claimspark.sources import fingerprints as FP
 
 from .registry import query
@@ -26,11 +25,6 @@ def _sides(t, *columns):
     return M.hash_sides(_frames(t.match_incoming), _frames(t.match_history), columns or ("phash",))
 
 
-def _anchor_side(t):
-    i, h = materialize(M.hash_frames(_frames(t.match_incoming))), materialize(M.hash_frames(_frames(t.match_history)))
-    return i, h, M.hamming_pairs(i, h)
-
-
 SEQ_CTE = """fi as (select claim_id, row_number() over (partition by claim_id order by frame_index) - 1 as pos,
     count(*) over (partition by claim_id) as n, bits, dbits from {match_incoming}),
 fh as (select claim_id, row_number() over (partition by claim_id order by frame_index) - 1 as pos,
@@ -54,12 +48,14 @@ def rule_sql(r: str) -> str:
 
 @query(rule_sql("r1"))
 def anchor_match(t):
-    return M.anchor_match(*_anchor_side(t))
+    i, h, pairs = _sides(t)[0]
+    return M.anchor_match(i.frames, h.frames, pairs)
 
 
 @query(rule_sql("r2"))
 def anchor_match_last(t):
-    return M.anchor_match(*_anchor_side(t), last=True)
+    i, h, pairs = _sides(t)[0]
+    return M.anchor_match(i.frames, h.frames, pairs, last=True)
 
 
 @query(rule_sql("r3"))
@@ -89,7 +85,7 @@ def _legacy(t):
 
 @query(f"with {LEGACY_CTE} select ic as claim_id, hc as hist_claim from r0")
 def legacy_hash_match(t):
-    i = M.hash_frames(_frames(t.match_incoming))
+    i = M.hash_frames(_frames(t.match_incoming, False))
     bare = _legacy(t).select("claim_id", X.hash_bits(F.col("phash")).alias("bits"))
     return M.legacy_match(i, bare, M.hamming_pairs(i, bare))
 

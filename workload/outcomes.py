@@ -11,6 +11,8 @@ from claimspark.operators import detections as D
 from claimspark.operators import outcome as O
 from claimspark.operators import pricing as P
 
+from claimspark.session import materialize
+
 from .detections import ESTIMATE_CTE, KEEP_CTE, LABELS_CTE, case_sql, half_up_sql, values
 from .registry import query
 
@@ -55,7 +57,7 @@ cost as (select claim_id, label, arg_min(greatest(0, {half_up_sql("base_cost * "
 
 
 def _areas(t, version):
-    kept = D.dedupe_detections(t.detections)
+    kept = materialize(D.dedupe_detections(t.detections))
     return O.damage_areas(kept, P.repair_items(kept), version)
 
 
