@@ -91,7 +91,8 @@ def normalize_audit(df: DataFrame, raw: str = "report") -> DataFrame:
     """
     r = F.col(raw)
     epoch = r["timestamp"].try_cast("double")
-    iso = F.date_format(F.timestamp_millis(F.floor(epoch * 1000)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    utc = F.to_utc_timestamp(F.timestamp_millis(F.floor(epoch * 1000)), F.current_timezone())
+    iso = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
     def stage(n: int) -> Column:
         s = F.get(r["stages"], F.lit(n - 1))

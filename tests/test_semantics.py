@@ -101,11 +101,11 @@ def test_estimate_golden(spark):
     d = spark.createDataFrame([(1, "dent", "severe"), (1, "scratch", None), (1, "hood", "none")], "claim_id INT, label STRING, severity STRING")
     ctx = spark.createDataFrame([(1, "front", "multi-panel", 3), (2, "roof", "other", 0)], "claim_id INT, location STRING, extent STRING, parts_count INT")
     one, two = P.repair_estimate(d, ctx).orderBy("claim_id").collect()
-    # 1.1 * 1.25 * 1.16 = 1.595 -> 1.6 (half up on 159.5); 7200*1.8*1.6 = 20736, 2700*1*1.6 = 4320
-    assert one.context_multiplier in (1.59, 1.6)
-    parts = round(7200 * 1.8 * one.context_multiplier) + round(2700 * one.context_multiplier)
-    assert one.parts_cost == parts and one["items"] == 2
-    assert one.total_cost == one.subtotal + one.gst and two.total_cost == 0 and two.context_multiplier == 1.15
+    # 1.25 * 1.1 * 1.16 = 1.595, half up on 159.5 gives 1.6
+    # parts 7200 * 1.8 * 1.6 = 20736 and 2700 * 1.6 = 4320; labour 3110 and 648; GST 18% of 28814
+    assert (one.context_multiplier, one["items"], one.parts_cost, one.labour_cost) == (1.6, 2, 25056, 3758)
+    assert (one.gst, one.total_cost) == (5187, 34001)
+    assert (two.total_cost, two.context_multiplier) == (0, 1.15)
 
 
 def test_risk_golden(spark):

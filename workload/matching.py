@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from claimspark.functions import similarity as X
 from claimspark.functions import text as T
 from claimspark.operators import matching as M
+from claimspark.session import new_dir
 from claimspark.sources import fingerprints as FP
 
 from .registry import query
@@ -227,3 +228,20 @@ def haversine(t):
 def hist_intersection(t):
     nxt = t.signatures.select((F.col("claim_id") - 1).alias("claim_id"), F.col("color_sig").alias("b"))
     return t.signatures.join(nxt, "claim_id").select("claim_id", F.round(X.hist_intersection(F.col("color_sig"), F.col("b")), 9).alias("similarity"))
+
+
+@query("""select printf('%016x', bits) as phash from {hash_frames} where frame_index <> 2""")
+def read_fingerprint_hashes(t):
+    """Frames without a hash are stored with an empty one and skipped by the read."""
+    path = new_dir(t.spark, "fingerprints")
+    frames = t.hash_frames.select("claim_id", "frame_index", F.when(F.col("frame_index") == 2, "")
+                                  .otherwise(X.bits_hex(F.col("bits"))).alias("phash"))
+    FP.write_fingerprints(frames, path, buckets=8)
+    return FP.read_hashes(t.spark, path)
+
+
+@query("""select claim_id, frame_index, printf('%016x', bits) as phash, cast(null as double) as gps_lat from {hash_frames}""")
+def read_fingerprints(t):
+    path = new_dir(t.spark, "fingerprints")
+    FP.write_fingerprints(t.hash_frames.select("claim_id", "frame_index", X.bits_hex(F.col("bits")).alias("phash")), path, buckets=8)
+    return FP.read_fingerprints(t.spark, path).select("claim_id", "frame_index", "phash", "gps_lat")
