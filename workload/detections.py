@@ -306,9 +306,8 @@ def dedupe_detections(t):
     return D.dedupe_detections(t.detections).select("claim_id", "keep_idx", "det_seq", "label_norm", "confidence")
 
 
-@query(f"""with {KEEP_CTE}, res as (select claim_id, label || '-' || keep_idx as detection_id, keep_idx, severity from kept)
-select k.claim_id, k.keep_idx, k.severity as severity, case when k.severity is null then null else 'note ' || k.keep_idx end as note
-from kept k where (k.det_seq % 7) <> 0""")
+@query(f"""with {KEEP_CTE} select claim_id, keep_idx, case when det_seq % 7 <> 0 then severity end as severity,
+  case when det_seq % 7 <> 0 and severity is not null then 'note ' || keep_idx end as note from kept""")
 def attach_severity(t):
     kept = materialize(D.dedupe_detections(t.detections))
     answered = kept.where(F.col("det_seq") % 7 != 0).select(
@@ -317,7 +316,7 @@ def attach_severity(t):
     stale = answered.withColumn("result_seq", F.lit(1)).withColumn("severity", F.lit("minor")).withColumn("note", F.lit("old"))
     priced, unanswered = D.attach_severity(kept.drop("severity"), final.unionByName(stale))
     cols = ["claim_id", "keep_idx", "severity", F.when(F.col("severity").isNotNull(), F.col("severity_note")).alias("note")]
-    return priced.select(*cols).unionByName(unanswered.where(F.col("det_seq") % 7 != 0).select(*cols))
+    return priced.select(*cols).unionByName(unanswered.select(*cols))
 
 
 @query("""with req as (select distinct claim_id, label || '-' || (det_seq % 5) as detection_id from {detections}),

@@ -139,9 +139,9 @@ select 1000000 + claim_id as claim_id, cast(case claim_id % 6 when 1 then 4 - fr
   bits ^ (case claim_id % 6 when 3 then 4095L when 4 then 8191L when 5 then -1L else 0L end) as bits
 from {hash_frames} where not (claim_id % 6 = 2 and frame_index in (0, 4))""",
     "signatures": """
-select vec_id div 5 as claim_id, transform(array(struct(e, s)), r -> transform(r.e, x -> x * x / r.s))[0] as color_sig
+select vec_id as claim_id, transform(array(struct(e, s)), r -> transform(r.e, x -> x * x / r.s))[0] as color_sig
 from (select vec_id, e, aggregate(e, 0D, (a, x) -> a + x * x) as s
-      from (select vec_id, cast(embedding as array<double>) as e from {embeddings})) where vec_id % 5 = 0""",
+      from (select vec_id, cast(embedding as array<double>) as e from {embeddings}))""",
     "pixels": """
 select vec_id div 5 as claim_id, cast(vec_id % 5 as int) as frame_index, cast(p div 8 as int) as y,
   cast(p % 8 as int) as x, cast(v as double) * 400 + 128 as v
@@ -186,10 +186,10 @@ select 1000000 + claim_id as claim_id, case claim_id % 6 when 1 then 4 - frame_i
     else 0::bigint end) as bits
 from {hash_frames} where not (claim_id % 6 = 2 and frame_index in (0, 4))""",
     "signatures": """
-select vec_id // 5 as claim_id, list_transform(e, lambda x: x * x / s) as color_sig
+select vec_id as claim_id, list_transform(e, lambda x: x * x / s) as color_sig
 from (select vec_id, cast(embedding as double[]) as e,
         list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)) as s
-      from {embeddings}) where vec_id % 5 = 0""",
+      from {embeddings})""",
     "pixels": """
 select vec_id // 5 as claim_id, cast(vec_id % 5 as int) as frame_index, cast((i - 1) // 8 as int) as y,
   cast((i - 1) % 8 as int) as x, cast(v as double) * 400 + 128 as v
