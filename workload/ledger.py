@@ -81,19 +81,19 @@ def append_result(t):
 PAYLOAD = """'{"claim_id":' || (doc_id % 500) || ',"digest":"' || sha256(text) || '","note":null}'"""
 
 
-@query(f"""with sub as (select doc_id % 500 as claim_id, doc_id, {PAYLOAD} as payload_json from {{documents}}),
+@query(f"""with sub as (select doc_id % 500 as claim_id, doc_id, {PAYLOAD.replace('sha256(text)', 'sha256(lang)')} as payload_json from {{documents}}),
 first as (select claim_id, arg_min(payload_json, doc_id) as p, min(doc_id) as d from sub group by 1)
 select s.claim_id, doc_id, case when doc_id = d then 'new' when payload_json = p then 'same' else 'conflict' end as verdict,
   case when payload_json = p then sha256(payload_json) end as receipt,
   case when payload_json = p then 'SHA-256-UNSIGNED-DEVELOPMENT' end as algorithm
 from sub s join first using (claim_id)""")
 def finalise_receipts(t):
-    return L.finalise_receipts(None, _payloads(t), "doc_id").select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
+    return L.finalise_receipts(None, _payloads(t, "lang"), "doc_id").select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
 
 
-def _payloads(t):
+def _payloads(t, evidence="text"):
     claim = F.col("doc_id") % 500
-    payload = crypto.canonical_json(note=F.lit(None).cast("string"), digest=crypto.digest(F.col("text")), claim_id=claim)
+    payload = crypto.canonical_json(note=F.lit(None).cast("string"), digest=crypto.digest(F.col(evidence)), claim_id=claim)
     return t.documents.select(claim.alias("claim_id"), "doc_id", payload.alias("payload_json"))
 
 

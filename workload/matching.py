@@ -74,13 +74,13 @@ def reversed_match(t):
     return M.reversed_match(*_sides(t)[0])
 
 
-LEGACY_CTE = """legacy as (select claim_id, bits from {hash_frames}),
+LEGACY_CTE = """legacy as (select 700000 + claim_id as claim_id, bits from {hash_frames}),
 r0 as (select i.claim_id as ic, min(l.claim_id) as hc from {match_incoming} i join legacy l
   on i.claim_id <> l.claim_id and bit_count(xor(i.bits, l.bits)) <= 12 group by 1)"""
 
 
 def _legacy(t):
-    return t.hash_frames.select("claim_id", X.bits_hex(F.col("bits")).alias("phash"))
+    return t.hash_frames.select((F.col("claim_id") + 700000).alias("claim_id"), X.bits_hex(F.col("bits")).alias("phash"))
 
 
 @query(f"with {LEGACY_CTE} select ic as claim_id, hc as hist_claim from r0")

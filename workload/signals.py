@@ -37,14 +37,14 @@ def dct_hash(t):
     return S.dct_hash(t.pixels)
 
 
-HSV = """(select claim_id, frame_index, cast(floor(abs(v) * 7) as int) % 180 as h, cast(floor(abs(v) * 3) as int) % 256 as s,
-  cast(floor(abs(v)) as int) % 256 as b, cast(floor(abs(v) * 5) as int) % 256 as a, cast(floor(abs(v) * 11) as int) % 256 as bb from {pixels})"""
+HSV = """(select claim_id, frame_index, cast(floor(abs(v) * 7) as int) % 34 as h, cast(floor(abs(v) * 3) as int) % 256 as s,
+  cast(floor(abs(v)) as int) % 256 as b, cast(floor(abs(v) * 0.5) as int) % 256 as a, cast(floor(abs(v) * 11) as int) % 256 as bb from {pixels})"""
 
 
 def _hsv(t):
     q = lambda k, m: (F.floor(F.abs("v") * k).cast("int") % m)
-    return t.pixels.select("claim_id", "frame_index", q(7, 180).alias("h"), q(3, 256).alias("s"), q(1, 256).alias("b"),
-                           q(5, 256).alias("a"), q(11, 256).alias("bb"))
+    return t.pixels.select("claim_id", "frame_index", q(7, 34).alias("h"), q(3, 256).alias("s"), q(1, 256).alias("b"),
+                           q(0.5, 256).alias("a"), q(11, 256).alias("bb"))
 
 
 @query(f"""with p as {HSV}, b as (select claim_id, h * 32 // 180 as bin from p union all select claim_id, 32 + s // 8 from p union all select claim_id, 64 + b // 8 from p),
@@ -66,9 +66,9 @@ def color_cast(t):
 
 @query("""with d as (select claim_id, frame_index, abs(v - lag(v) over (partition by claim_id, y, x order by frame_index)) as d from {pixels}),
 p as (select claim_id, frame_index, avg(d) as pd from d group by 1, 2)
-select claim_id, round(avg(pd), 6) as mean_diff, coalesce(avg(pd) >= 70.0, false) as passed from p group by 1""")
+select claim_id, round(avg(pd), 6) as mean_diff, coalesce(avg(pd) >= 56.0, false) as passed from p group by 1""")
 def static_feed(t):
-    return S.static_feed(t.pixels, 70.0).withColumn("mean_diff", F.round("mean_diff", 6))
+    return S.static_feed(t.pixels, 56.0).withColumn("mean_diff", F.round("mean_diff", 6))
 
 
 SPECTRUM = """(select claim_id, 0 as frame_index, (frame_index * 64 + y * 8 + x) // 20 as y, (frame_index * 64 + y * 8 + x) % 20 as x,
