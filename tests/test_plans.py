@@ -2,16 +2,16 @@
 
 import pytest
 
-import __spark_entry__ as contract
+from workload import catalog
 
 SF = "/root/testdata/sf0.001"
 SKIP = {"stream_duplicate_check", "stream_evidence_files"}
 SCENE = {"scene_match", "first_match"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in contract.queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not n.startswith("stream_")))
 def test_plan(spark, name):
-    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     if name not in SCENE:
         assert "Python" not in plan and "Arrow" not in plan
