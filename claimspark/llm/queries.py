@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import bpe, secrets, urls
+from . import bpe, html_text, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, materialize(urls.train(urls.labels_of_rules(pages))))
+
+
+@query()
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    known = materialize(html_text.templates(html_text.subtrees(pages)))
+    return html_text.main_text(pages, known).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
