@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimspark.session import materialize
+
 from .urls import host
 
 
@@ -228,7 +230,7 @@ def subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 def templates(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(host, subtrees): the hashes that recur across many contents of the host."""
-    counts = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
     all_of = counts.filter(F.col("subtree").isNull()).select(F.col("host").alias("h"), F.col("n").alias("contents"))
     often = counts.filter(F.col("subtree").isNotNull() & (F.col("n") >= s.least_contents)).join(all_of, F.col("host") == F.col("h"))
     return often.filter(F.col("n") >= s.least_share * F.col("contents")).groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
