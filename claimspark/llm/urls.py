@@ -96,7 +96,7 @@ def train(urls: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = urls.sparkSession
     lists = (spark.range(s.buckets).withColumnRenamed("id", "b").join(pairs, "b", "left").groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("i"))
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "i"))), lambda x: x["i"]).alias("inv")))
-    both = ready.withColumn("k", F.lit(1)).join(lists.withColumn("k", F.lit(1)), "k")
+    both = ready.select("*", lists.scalar().alias("inv"))
 
     def error(w: Column) -> Column:
         def one(x):
