@@ -29,7 +29,7 @@ LABELLERS = (
     ("symbols", 0.02, 0.04),  # share of characters that are neither letters, digits, spaces nor usual punctuation
     ("wordless", 0.05, 0.12),  # share of words without a letter or digit
     ("capitals", 0.15, 0.30),  # share of capitals among ASCII letters
-    ("repeats", 0.20, 0.40),  # share of four-word sequences that occurred before in the text
+    ("repeats", 0.40, 0.60),  # share of four-word sequences that occurred before in the text
     ("long_words", 0.08, 0.20),  # share of words of over 25 bytes
     ("odd_words", 0.08, 0.20),  # share of words with a symbol inside or at the end
     ("same_lines", 0.34, 0.60),  # share of lines that occurred before
@@ -45,7 +45,7 @@ class Settings:
     epochs: int = 300
     rate: float = 2.0
     decay: float = 1e-4
-    accept: float = 0.4  # the least score that stays; below one half, as doubtful texts are kept
+    accept: float = 0.3  # the least score that stays; below one half, as doubtful texts are kept
 
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 letter, 2 digit, 3 usual punctuation, 4 space, 0 symbol
