@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import bpe, html_text, quality, secrets, simhash, urls
+from . import bpe, html_text, quality, rnn_lm, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query()
+def op9_rnn_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnn_lm.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
