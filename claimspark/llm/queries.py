@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import bpe, html_text, quality, rnn_lm, secrets, simhash, urls
+from . import bpe, html_text, quality, rnn_lm, secrets, simhash, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_rnn_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rnn_lm.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
