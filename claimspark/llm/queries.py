@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import ann, bpe, html_text, quality, rnn_lm, secrets, simhash, substrings, urls
+from . import ann, bpe, decontaminate, html_text, quality, rnn_lm, secrets, simhash, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
