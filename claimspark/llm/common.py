@@ -6,10 +6,7 @@ yields; lower-casing with ``bytes.lower()`` changes A-Z only. A null text is an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +20,12 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    """A record batch from lists or arrays, in the order of ``types``."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) for k, t in types.items()], names=list(types))
+def unused_prefix(df: DataFrame) -> str:
+    """A prefix that no column has."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused_prefix
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,10 +101,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return apply_rules(once.select("blob", "missing", "content"), rules)
 
 
-def apply_rules(blobs: DataFrame, rules: tuple[Rule, ...], missing: str = "missing", text: str = "content") -> DataFrame:
+def apply_rules(blobs: DataFrame, rules: tuple[Rule, ...], blob: str = "blob", missing: str = "missing", text: str = "content") -> DataFrame:
     """Ledger rows of a table with a blob, the rule versions to apply and the text."""
     names = blobs.columns
-    blob_at, missing_at, text_at = (names.index("__blob" if "__blob" in names else "blob"), names.index(missing), names.index(text))
+    blob_at, missing_at, text_at = (names.index(blob), names.index(missing), names.index(text))
 
     def run(batches):
         scanner = Scanner(rules)
@@ -154,15 +156,16 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     unseen blobs and the replacement in all paths read the same exchange.
     """
     columns, at = docs.columns, docs.columns.index(text)
-    blob, path = "__blob", F.col(key)
+    mine = unused_prefix(docs)
+    blob, path = f"{mine}blob", F.col(f"`{key}`")
     stored = docs.withColumn(blob, F.unhex(F.sha2(content(text), 256))).repartition(blob, key)
-    todo = unseen(versions(docs, key, text), ledger, rules).select(F.col("path").alias("__path"), F.col("blob").alias("__todo"), F.col("missing").alias("__missing"))
-    once = stored.join(todo.hint("shuffle_hash"), (F.col(blob) == F.col("__todo")) & path.eqNullSafe(F.col("__path")))
-    fresh = apply_rules(once, rules, "__missing", text)
+    todo = unseen(versions(docs, key, text), ledger, rules).select(F.col("path").alias(f"{mine}path"), F.col("blob").alias(f"{mine}todo"), F.col("missing").alias(f"{mine}missing"))
+    once = stored.join(todo.hint("shuffle_hash"), (F.col(blob) == F.col(f"{mine}todo")) & path.eqNullSafe(F.col(f"{mine}path")))
+    fresh = apply_rules(once, rules, blob, f"{mine}missing", text)
     known = fresh if ledger is None else fresh.unionByName(ledger)
     found = findings(versions(docs, key, text), known, rules).filter(F.size("spans") > 0).dropDuplicates(["blob", "path"])
-    found = found.select(F.col("path").alias("__path"), F.col("blob").alias("__todo"), F.col("spans").alias("__spans"))
-    joined = stored.join(found.hint("shuffle_hash"), (F.col(blob) == F.col("__todo")) & path.eqNullSafe(F.col("__path")), "left")
+    found = found.select(F.col("path").alias(f"{mine}path"), F.col("blob").alias(f"{mine}todo"), F.col("spans").alias(f"{mine}spans"))
+    joined = stored.join(found.hint("shuffle_hash"), (F.col(blob) == F.col(f"{mine}todo")) & path.eqNullSafe(F.col(f"{mine}path")), "left")
 
     def run(batches):
         for b in batches:
@@ -172,7 +175,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
                 arrays[at] = pa.array([t.as_py() if s is None else replace(t.as_py(), s, mark) for t, s in zip(arrays[at], spans.to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return joined.select(*[F.col(f"`{c}`") for c in columns], "__spans").mapInArrow(run, docs.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in columns], f"{mine}spans").mapInArrow(run, docs.schema)
 
 
 def replace(text: str, spans: list[dict], mark: str) -> str:

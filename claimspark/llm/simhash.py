@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from .common import text_bytes
+from .common import text_bytes, unused_prefix
 from .graph import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -169,5 +169,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that are their component's smallest key, one row a key, all columns kept."""
-    stay = near_duplicates(docs, key, text, radius).filter(F.col(key) == F.col("component")).select(F.col(key).alias("__stay")).distinct()
-    return docs.join(stay, F.col(key) == F.col("__stay"), "left_semi").dropDuplicates([key])
+    name = f"{unused_prefix(docs)}stay"
+    stay = near_duplicates(docs, key, text, radius).filter(F.col(key) == F.col("component")).select(F.col(key).alias(name)).distinct()
+    return docs.join(stay, F.col(key) == F.col(name), "left_semi").dropDuplicates([key])
