@@ -76,6 +76,7 @@ DEFAULT_OWNER = "local-development"
 # ---- detections ----
 MIN_CONFIDENCE = 0.45
 MAX_DETECTIONS = 12
+NO_DAMAGE = "No damages detected"
 SAME_FRAME_IOU, OTHER_FRAME_IOU, CENTRE_DISTANCE = 0.35, 0.25, 0.12
 REPLAY_FLAG_CONFIDENCE = 0.60
 

@@ -14,7 +14,7 @@ from ..functions import constants as K
 from ..functions.similarity import box_iou
 from ..functions.text import allowed_classes, normalize_bool, normalize_severity, with_label_norm
 from ..session import materialize
-from .skew import split_hot
+from .skew import split_hot, top_per_key
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -199,20 +199,26 @@ def first_by_label(kept: DataFrame, items: DataFrame, idx: str, values: list[str
             .select(*kept.columns, *[F.col(f"_first.{v}").alias(v) for v in values]))
 
 
-def detection_summary(kept: DataFrame) -> DataFrame:
+def detection_summary(kept: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """Summary line, severity counts and peak confidence of the retained detections.
 
-    The list is at most ``MAX_DETECTIONS`` long because the input is de-duplicated.
+    The first ``MAX_DETECTIONS`` of a claim count, as de-duplication leaves no more. With
+    ``claims`` (``claim_id``) a claim without detections gets a row that says so.
     """
+    kept = top_per_key(kept, ["claim_id"], [F.col("keep_idx")], K.MAX_DETECTIONS, "_place")
     pct = F.floor(F.col("confidence") * 100).cast("bigint")
     line = F.concat(F.col("label"), F.lit(" ("), pct.cast("string"), F.lit("%)"))
     sev = F.lower(F.col("severity"))
     counts = [F.count_if(sev == s).alias(f"n_{s}") for s in K.SEVERITIES]
-    return (kept.groupBy("claim_id").agg(
+    out = (kept.groupBy("claim_id").agg(
         F.array_sort(F.collect_list(F.struct("keep_idx", line.alias("line")))).alias("lines"),
         F.max(pct).alias("peak_pct"), F.count(F.lit(1)).alias("areas"), *counts)
         .withColumn("summary", F.concat(F.lit("Detected: "), F.array_join(F.col("lines")["line"], ", ")))
         .drop("lines"))
+    if claims is None:
+        return out
+    numbers = ["peak_pct", "areas", *[f"n_{s}" for s in K.SEVERITIES]]
+    return claims.select("claim_id").distinct().join(out, "claim_id", "left").fillna(0, numbers).fillna(K.NO_DAMAGE, ["summary"])
 
 
 def replay_flag(results: DataFrame) -> DataFrame:

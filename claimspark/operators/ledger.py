@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crypto
@@ -59,13 +59,14 @@ def request_collisions(events: DataFrame) -> DataFrame:
 
 
 def upsert_transactions(stored: DataFrame, events: DataFrame) -> DataFrame:
-    """Fold new events into a stored ledger; stored rows count as earliest arrivals."""
-    first = stored.select("request_id", *IDENTITY, "state", "outcome_json",
-                          F.col("created_at").alias("updated_at"), F.lit(-1).cast("bigint").alias("event_id"))
-    last = stored.select("request_id", *IDENTITY, "state", "outcome_json", "updated_at",
-                         F.lit(0).cast("bigint").alias("event_id"))
-    new = events if "outcome_json" in events.columns else events.withColumn("outcome_json", F.lit(None).cast("string"))
-    return latest_transactions(first.unionByName(last).unionByName(new.select(*first.columns)))
+    """Fold new events into a stored ledger of :func:`fold_events` rows; the result is such a ledger.
+
+    The folded form keeps arrival order and the events of every identity, so collisions and
+    ties survive any number of upserts. :func:`settle` gives the current rows.
+    """
+    both = stored.unionByName(fold_events(events))
+    return both.groupBy("request_id", *IDENTITY).agg(
+        F.min("first_seen").alias("first_seen"), F.max("latest").alias("latest"), F.sum("events").alias("events"))
 
 
 def ledger_page(ledger: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -77,18 +78,23 @@ def ledger_page(ledger: DataFrame, limit: int = 50, offset: int = 0) -> DataFram
 def first_writer(incoming: DataFrame, stored: DataFrame | None, key: str, content: str, order: str) -> DataFrame:
     """Classify each incoming row as ``new``, ``same`` or ``conflict``.
 
-    The stored content of the key decides; without one the first incoming row does.
+    The stored content of the key decides; without one the first incoming row does, by
+    order, then content. Exactly one row of a key is ``new``; equal content is ``same``.
     """
-    first = incoming.groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(content).alias("c"))).alias("_first"))
+    pick = F.struct(F.col(order).alias("o"), F.col(content).alias("c"))
+    first = incoming.groupBy(key).agg(F.min(pick).alias("_first"))
     rows = incoming.join(first, key)
+    # exact copies of the winning row differ in nothing, so any one of them is the new one
+    copy = F.row_number().over(Window.partitionBy(key, order, content).orderBy(F.lit(1)))
+    rows = rows.withColumn("_copy", F.when(pick == F.col("_first"), copy))
     if stored is not None:
         rows = rows.join(stored.select(key, F.col(content).alias("_stored")), key, "left")
     else:
         rows = rows.withColumn("_stored", F.lit(None).cast(incoming.schema[content].dataType))
     binding = F.coalesce("_stored", "_first.c")
-    verdict = (F.when(F.col("_stored").isNull() & (F.col(order) == F.col("_first.o")), "new")
+    verdict = (F.when(F.col("_stored").isNull() & (F.col("_copy") == 1), "new")
                .when(F.col(content) == binding, "same").otherwise("conflict"))
-    return rows.withColumn("verdict", verdict).drop("_first", "_stored")
+    return rows.withColumn("verdict", verdict).drop("_first", "_stored", "_copy")
 
 
 def append_results(stored: DataFrame, incoming: DataFrame, order: str = "created_at") -> DataFrame:

@@ -9,26 +9,15 @@ from ..functions import constants as K
 from ..functions import text as T
 
 
-def _window(body: Column, head_tail: int | None) -> Column:
-    if head_tail is None:
-        return body
-    return F.when(F.length(body) > 2 * head_tail,
-                  F.concat(F.substring(body, 1, head_tail), F.right(body, F.lit(head_tail)))).otherwise(body)
-
-
-def container_scan(df: DataFrame, body: str = "body", head_tail: int | None = None,
-                   marker_head: int | None = None) -> DataFrame:
+def container_scan(df: DataFrame, body: str = "body") -> DataFrame:
     """Editing-software verdict of a container's text.
 
     Adds ``transferred`` (messenger or air-drop marker), ``keyword`` (editing or download
     tool), ``signal`` (generic editing phrase, ignored for transferred media) and
-    ``passed``. The whole text is searched; ``head_tail`` restricts the search to that
-    many leading and trailing characters, and ``marker_head`` the marker search to the
-    leading ones, for callers that need the gateway's windows.
+    ``passed``. The whole text is searched.
     """
-    low = df.withColumn("_low", F.lower(_window(F.col(body), head_tail)))
-    lead = F.col("_low") if marker_head is None else F.lower(F.substring(body, 1, marker_head))
-    out = (low.withColumn("transferred", T.any_keyword(lead, K.TRANSFER_MARKERS))
+    low = df.withColumn("_low", F.lower(F.col(body)))
+    out = (low.withColumn("transferred", T.any_keyword(F.col("_low"), K.TRANSFER_MARKERS))
            .withColumn("keyword", T.first_keyword(F.col("_low"), K.EDITING_KEYWORDS)))
     signal = F.when(F.col("keyword").isNull() & ~F.col("transferred"),
                     T.first_keyword(F.col("_low"), K.GENERIC_EDIT_SIGNALS))

@@ -51,7 +51,7 @@ def damage_areas(kept: DataFrame, cost_items: DataFrame, version: int = 2,
     priced = first_by_label(kept, cost_items, "keep_idx", ["parts_cost"])
     label = F.col("label")
     title = F.when(F.coalesce(label, F.lit("")) == "", "Damage Area").otherwise(
-        F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 100000)))
+        F.concat(F.upper(F.substring(label, 1, 1)), F.substr(label, F.lit(2))))
     if version == 2:
         side = lambda given, usual: F.greatest(F.lit(1.0), F.lit(usual) if given is None else F.coalesce(given, F.lit(usual)))
         w, h = side(source_width, 1280.0), side(source_height, 720.0)

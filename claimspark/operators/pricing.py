@@ -86,7 +86,7 @@ def catalog_price(label: Column, severity: Column) -> Column:
     word = F.trim(F.lower(F.coalesce(severity, F.lit("none"))))
     # A leading blank keeps the band name lower-case after capitalising, so it has no price.
     cap = F.coalesce(severity, F.lit("none"))
-    band = F.trim(F.concat(F.upper(F.substring(cap, 1, 1)), F.lower(F.substring(cap, 2, 1000))))
+    band = F.trim(F.concat(F.upper(F.substring(cap, 1, 1)), F.lower(F.substr(cap, F.lit(2)))))
     table = None
     for name, costs in K.WORKSHOP_CATALOG.items():
         bands = F.when(band == "Minor", costs[0]).when(band == "Moderate", costs[1]).when(band == "Severe", costs[2])

@@ -65,29 +65,24 @@ def append_fingerprints(stored: DataFrame, claims: DataFrame, order: str) -> tup
     return explode_fingerprints(fresh), judged.where(F.col("verdict") == "conflict").select("claim_id", order, "file_sha256")
 
 
-def group_fingerprints(frames: DataFrame, part_frames: int = 4096) -> DataFrame:
-    """Frame rows to claim fingerprints: ordered non-empty hashes, first non-NULL scalars.
+def group_fingerprints(frames: DataFrame) -> DataFrame:
+    """Frame rows to ordered hash sequences in long form: ``claim_id, kind, pos, n, hash``.
 
-    ``frame_index`` is unique within a claim, so a row never gathers more than
-    ``part_frames`` frames: longer claims continue in further rows (``part`` 1, 2, ...).
-    The matching operators do not use this form; they work on frame rows.
+    Empty and missing hashes are skipped; ``pos`` counts the others in frame order and ``n`` is
+    the length of the sequence. No row gathers a claim's frames, so a claim of any length has
+    the same form. :func:`claim_scalars` has the values of the claim.
     """
-    df = evolve_schema(frames).withColumn("part", F.floor(F.col("frame_index") / part_frames).cast("int"))
-    seq = lambda c: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("frame_index", c)))), lambda s: s[c]).alias(f"{c}_seq")
-    first = lambda v: F.min_by(v, F.when(v.isNotNull(), F.col("frame_index")))
-    parsed = lambda c, t: F.from_json(F.col(c), t)
-    return df.groupBy("claim_id", "part").agg(
-        F.max_by("file_sha256", "frame_index").alias("file_sha256"), *[seq(c) for c in HASHES],
-        first(parsed("color_sig", "array<double>")).alias("color_sig"), first(parsed("motion_sig", "array<int>")).alias("motion_sig"),
-        *[first(F.col(c)).alias(c) for c in SCALARS[2:]])
+    df = evolve_schema(frames)
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("hash")) for c in HASHES])
+    rows = df.select("claim_id", "frame_index", F.inline(kinds)).where(F.col("hash") != "")
+    return with_positions(rows, ["claim_id", "kind"], "frame_index").select("claim_id", "kind", "pos", "n", "hash")
 
 
 def claim_scalars(frames: DataFrame) -> DataFrame:
-    """First non-NULL scalar of each claim, without collecting its frames."""
+    """Digest of the last frame and first non-NULL scalars of each claim, without collecting its frames."""
     df = evolve_schema(frames)
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("frame_index", F.col(c).alias("v"))))["v"].alias(c)
-    return df.groupBy("claim_id").agg(*[first(c) for c in SCALARS])
+    return df.groupBy("claim_id").agg(F.max_by("file_sha256", "frame_index").alias("file_sha256"), *[first(c) for c in SCALARS])
 
 
 def motion_signature(frames: DataFrame, column: str = "phash") -> DataFrame:

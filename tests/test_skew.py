@@ -133,26 +133,22 @@ def scenes(spark, n, seed, **extra):
     return data
 
 
-@pytest.mark.parametrize("similarity,pivots", [(0.9, 8), (0.7, 16), (0.5, 3)])
-def test_similar_pairs_equal_brute_force(spark, similarity, pivots):
-    data = scenes(spark, 80, 1)
+@pytest.mark.parametrize("similarity,keys", [(0.9, 3), (0.7, 1), (0.5, 2)])
+def test_similar_pairs_equal_brute_force(spark, similarity, keys):
+    data = scenes(spark, 80, 1) + [(100, [0.5, 0.5]), (101, [0.55, 0.45]), (102, [1.0])]
     left = spark.createDataFrame([(k, k, None, s) for k, s in data], "sid INT, c1 INT, c2 INT, color_sig ARRAY<DOUBLE>")
-    want = sorted((a, b) for a, x in data for b, y in data if sum(map(min, x, y)) >= similarity)
-    got = M.similar_pairs(left.select("sid", "color_sig"), left.select("c1", "c2", "color_sig"), similarity, pivots)
+    want = sorted((a, b) for a, x in data for b, y in data if len(x) == len(y) and sum(map(min, x, y)) >= similarity)
+    i, h = left.select("sid", "color_sig"), left.select("c1", "c2", "color_sig")
+    got = M.similar_pairs(i, h, i, h, similarity, keys=keys)
     assert sorted(map(tuple, got.select("l_sid", "r_c1").collect())) == want
+    assert M.similar_pairs(i, h.limit(0), i, h.limit(0), similarity).count() == 0
 
 
-def test_similar_pairs_without_history(spark):
-    left = spark.createDataFrame([(1, [0.5, 0.5])], "sid INT, color_sig ARRAY<DOUBLE>")
-    right = spark.createDataFrame([], "c1 INT, c2 INT, color_sig ARRAY<DOUBLE>")
-    assert M.similar_pairs(left, right, 0.9).count() == 0
-
-
-def test_hot_buckets_give_the_same_matches(spark):
-    i = fixture(spark, SF, "scene_incoming").select("claim_id", "color_sig", "capture_ts", "lat", "lon")
-    h = fixture(spark, SF, "scene_history").select("claim_id", "color_sig", "capture_ts", "lat", "lon")
-    for rule in (M.time_window_match, M.gps_radius_match):
-        assert rows(rule(i, h, hot_bucket=0)) == rows(rule(i, h))
+def test_scene_without_motion_and_of_other_length(spark):
+    table = lambda *r: spark.createDataFrame(r, "claim_id INT, color_sig ARRAY<DOUBLE>, motion_sig ARRAY<INT>")
+    i = table((1, [0.25] * 4, None), (2, [0.25] * 4, []), (3, [0.2] * 5, [1]), (4, None, None))
+    h = table((10, [0.25] * 4, [5]), (11, [0.5, 0.5], None))
+    assert rows(M.scene_match(i, h)) == [(1, 10), (2, 10)]
 
 
 def haversine(a, b):
@@ -176,7 +172,11 @@ def test_gps_cells_wrap_and_hold_near_the_poles(spark):
     assert sorted(map(tuple, M.gps_radius_match(table, table).collect())) == want
 
 
-def test_fingerprint_lists_continue_in_parts(spark):
-    frames = spark.createDataFrame([(1, "d", i, f"{i:016x}") for i in range(10)], "claim_id INT, file_sha256 STRING, frame_index INT, phash STRING")
-    got = FP.group_fingerprints(frames, part_frames=4).orderBy("part").select("part", F.size("phash_seq")).collect()
-    assert [tuple(r) for r in got] == [(0, 4), (1, 4), (2, 2)]
+@pytest.mark.parametrize("frames", [10, 10_000])
+def test_fingerprint_sequences_of_any_length(spark, frames):
+    table = spark.range(frames).select(F.lit(1).alias("claim_id"), F.lit("d").alias("file_sha256"), F.col("id").cast("int").alias("frame_index"),
+                                       F.when(F.col("id") == 3, "").otherwise(F.lpad(F.hex("id"), 16, "0")).alias("phash"))
+    got = FP.group_fingerprints(table).orderBy("pos").collect()
+    want = [k for k in range(frames) if k != 3]
+    assert [(r.kind, r.pos, r.n, int(r.hash, 16)) for r in got] == [("phash", p, frames - 1, k) for p, k in enumerate(want)]
+    assert FP.claim_scalars(table).head().file_sha256 == "d"

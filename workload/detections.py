@@ -334,13 +334,16 @@ def detection_ids_complete(t):
     return D.ids_complete(t.detections.select("claim_id", ident(F.lit(0))), returned)
 
 
-@query(f"""with {KEEP_CTE} select claim_id,
+@query(f"""with {KEEP_CTE}, s as (select claim_id,
   'Detected: ' || string_agg(label || ' (' || cast(floor(confidence * 100) as bigint) || '%)', ', ' order by keep_idx) as summary,
   cast(max(floor(confidence * 100)) as bigint) as peak_pct, count(*) as areas,
   count(*) filter (where severity = 'severe') as n_severe, count(*) filter (where severity = 'minor') as n_minor
-from kept group by 1""")
+from kept group by 1)
+select o_orderkey as claim_id, coalesce(summary, 'No damages detected') as summary, coalesce(peak_pct, 0) as peak_pct, coalesce(areas, 0) as areas,
+  coalesce(n_severe, 0) as n_severe, coalesce(n_minor, 0) as n_minor from {{orders}} left join s on claim_id = o_orderkey""")
 def detection_summary(t):
-    return D.detection_summary(D.dedupe_detections(t.detections)).select(
+    claims = t.orders.select(F.col("o_orderkey").alias("claim_id"))
+    return D.detection_summary(D.dedupe_detections(t.detections), claims).select(
         "claim_id", "summary", "peak_pct", "areas", "n_severe", "n_minor")
 
 

@@ -39,12 +39,15 @@ def request_collisions(t):
     return L.request_collisions(t.transactions).select("request_id", "owner_id", "events")
 
 
-@query(f"""with {LATEST_CTE} select request_id, state, {TS.format('updated_at')} as updated_at from latest""")
+@query(f"""with {LATEST_CTE} select request_id, owner_id, state, {TS.format('created_at')} as created_at,
+  {TS.format('updated_at')} as updated_at, collisions from latest""")
 def upsert_transactions(t):
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    stored = L.latest_transactions(t.transactions.where(F.col("updated_at") < cut))
-    out = L.upsert_transactions(stored, t.transactions.where(F.col("updated_at") >= cut))
-    return out.select("request_id", "state", ts_text("updated_at").alias("updated_at"))
+    """Three upserts, in two of which the events overlap in time."""
+    stored = L.fold_events(t.transactions.where(F.col("event_id") % 3 == 0))
+    for k in (1, 2):
+        stored = L.upsert_transactions(stored, t.transactions.where(F.col("event_id") % 3 == k))
+    return L.settle(stored).select("request_id", "owner_id", "state", ts_text("created_at").alias("created_at"),
+                                   ts_text("updated_at").alias("updated_at"), "collisions")
 
 
 @query(f"""with {LATEST_CTE} select request_id, state, {TS.format('updated_at')} as updated_at
@@ -56,7 +59,7 @@ def ledger_page(t):
 
 @query("select count(distinct request_id) as total_records from {transactions}")
 def ledger_count(t):
-    return L.latest_transactions(t.transactions).agg(F.count(F.lit(1)).alias("total_records"))
+    return t.transactions.agg(F.count_distinct("request_id").alias("total_records"))
 
 
 @query("""with stored as (select o_orderkey as claim_id, o_custkey as owner_id from {orders} where o_orderkey % 3 = 0)
@@ -81,19 +84,20 @@ def append_result(t):
 PAYLOAD = """'{"claim_id":' || (doc_id % 500) || ',"digest":"' || sha256(text) || '","note":null}'"""
 
 
-@query(f"""with sub as (select doc_id % 500 as claim_id, doc_id, {PAYLOAD.replace('sha256(text)', 'sha256(lang)')} as payload_json from {{documents}}),
+@query(f"""with sub as (select doc_id % 500 as claim_id, doc_id, {PAYLOAD.replace('sha256(text)', "sha256(case when doc_id % 3 = 0 then text else lang end)")} as payload_json from {{documents}}),
 first as (select claim_id, arg_min(payload_json, doc_id) as p, min(doc_id) as d from sub group by 1)
 select s.claim_id, doc_id, case when doc_id = d then 'new' when payload_json = p then 'same' else 'conflict' end as verdict,
   case when payload_json = p then sha256(payload_json) end as receipt,
   case when payload_json = p then 'SHA-256-UNSIGNED-DEVELOPMENT' end as algorithm
 from sub s join first using (claim_id)""")
 def finalise_receipts(t):
-    return L.finalise_receipts(None, _payloads(t, "lang"), "doc_id").select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
+    evidence = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.col("lang"))
+    return L.finalise_receipts(None, _payloads(t, evidence), "doc_id").select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
 
 
-def _payloads(t, evidence="text"):
+def _payloads(t, evidence=None):
     claim = F.col("doc_id") % 500
-    payload = crypto.canonical_json(note=F.lit(None).cast("string"), digest=crypto.digest(F.col(evidence)), claim_id=claim)
+    payload = crypto.canonical_json(note=F.lit(None).cast("string"), digest=crypto.digest(F.col("text") if evidence is None else evidence), claim_id=claim)
     return t.documents.select(claim.alias("claim_id"), "doc_id", payload.alias("payload_json"))
 
 

@@ -49,14 +49,14 @@ def rule_sql(r: str) -> str:
 
 @query(rule_sql("r1"))
 def anchor_match(t):
-    i, h, pairs = _sides(t)[0]
-    return M.anchor_match(i.frames, h.frames, pairs)
+    i, h = M.sequences(_frames(t.match_incoming, False), _frames(t.match_history, False))
+    return M.anchor_match(i.frames, h.frames)
 
 
 @query(rule_sql("r2"))
 def anchor_match_last(t):
-    i, h, pairs = _sides(t)[0]
-    return M.anchor_match(i.frames, h.frames, pairs, last=True)
+    i, h = M.sequences(_frames(t.match_incoming, False), _frames(t.match_history, False))
+    return M.anchor_match(i.frames, h.frames, last=True)
 
 
 @query(rule_sql("r3"))
@@ -158,17 +158,17 @@ def motion_signature(t):
     return FP.motion_signature(frames)
 
 
-@query("""select claim_id, 'sha-' || claim_id as file_sha256, count(*) filter (where not (frame_index = 2 and claim_id % 3 = 0)) as frames,
-  string_agg(printf('%016x', bits), ',' order by frame_index) filter (where not (frame_index = 2 and claim_id % 3 = 0)) as phash_seq,
-  case when claim_id % 2 = 0 then '2024-01-01T00:00:00' end as capture_timestamp from {hash_frames} group by claim_id""")
+@query("""with f as (select claim_id, frame_index, bits from {hash_frames} where not (frame_index = 2 and claim_id % 3 = 0))
+select claim_id, 'sha-' || claim_id as file_sha256, 'phash' as kind, row_number() over (partition by claim_id order by frame_index) - 1 as pos,
+  count(*) over (partition by claim_id) as n, printf('%016x', bits) as hash, case when claim_id % 2 = 0 then '2024-01-01T00:00:00' end as capture_timestamp from f""")
 def group_fingerprints(t):
     k, f = F.col("claim_id"), F.col("frame_index")
     frames = t.hash_frames.select(
         "claim_id", F.concat(F.lit("sha-"), k.cast("string")).alias("file_sha256"), "frame_index",
         F.when((f == 2) & (k % 3 == 0), "").otherwise(X.bits_hex(F.col("bits"))).alias("phash"),
         F.when((f == 1) & (k % 2 == 0), "2024-01-01T00:00:00").alias("capture_timestamp"))
-    return FP.group_fingerprints(frames).select("claim_id", "file_sha256", F.size("phash_seq").alias("frames"),
-                                                F.array_join("phash_seq", ",").alias("phash_seq"), "capture_timestamp")
+    scalars = FP.claim_scalars(frames).select("claim_id", "file_sha256", "capture_timestamp")
+    return FP.group_fingerprints(frames).join(scalars, "claim_id")
 
 
 def _claims(t):
