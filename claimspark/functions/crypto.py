@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIGNED, UNSIGNED = "HMAC-SHA256", "SHA-256-UNSIGNED-DEVELOPMENT"
 
@@ -16,11 +17,35 @@ def digest(content: Column) -> Column:
 
 
 def canonical_json(**fields: Column) -> Column:
-    """Compact JSON object with keys in sorted order and NULLs kept."""
+    """Compact JSON object with keys in sorted order and NULLs kept; for nested values see :func:`sorted_keys`."""
     ordered = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
     return F.to_json(ordered, {"ignoreNullFields": "false"})
 
 
+def sorted_keys(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of every struct and the keys of every map in sorted order, at any depth."""
+    if isinstance(kind, T.StructType):
+        inner = [sorted_keys(value[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*inner)) if inner else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), sorted_keys(e["value"], kind.valueType).alias("value"))
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.transform(F.array_sort(F.map_entries(value), by_key), entry))
+    return value
+
+
+def canonical_text(payload_json: Column, schema: str | T.DataType) -> Column:
+    """Canonical form of JSON text of a known schema: sorted keys at any depth, no blanks, NULLs kept.
+
+    Text that is no such JSON is its own canonical form.
+    """
+    kind = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+    value = F.from_json(payload_json, kind)
+    return F.coalesce(F.to_json(sorted_keys(value, kind), {"ignoreNullFields": "false"}), payload_json)
+
+
 def hmac_sha256(secret: bytes, message: Column) -> Column:
     """RFC 2104 HMAC built from two nested digests; only the key pads are literals."""
     key = hashlib.sha256(secret).digest() if len(secret) > 64 else secret

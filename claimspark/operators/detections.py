@@ -7,7 +7,7 @@ claim and breaks confidence ties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -87,19 +87,19 @@ def _close_boxes(px: float):
 
 
 def greedy_keep(rows: DataFrame, key: str, order: list[Column], conflict,
-                max_items: int | None, fold_limit: int = 2048) -> DataFrame:
+                max_items: int | None, fold_limit: int | None = 2048) -> DataFrame:
     """Walk each key's rows in order and keep a row unless a kept one conflicts with it.
 
     Keys with at most ``fold_limit`` rows are folded in one array. Larger keys never
     meet in one task: every round takes the first remaining row of each key (a map-side
     combined minimum), keeps it and removes it with everything it conflicts with. The
     first remaining row is always kept by the greedy walk, so both ways agree.
-    ``max_items=None`` keeps all survivors.
+    ``max_items=None`` keeps all survivors; ``fold_limit=None`` says that no key is large.
     """
     fields = [c for c in rows.columns if c != key]
     ordered = rows.withColumn("_ord", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     item = F.struct("_ord", *fields)
-    small, large = split_hot(ordered, [key], fold_limit)
+    small, large = (ordered, None) if fold_limit is None else split_hot(ordered, [key], fold_limit)
 
     packed = small.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = packed.schema["items"].dataType
@@ -139,8 +139,37 @@ def dedupe_detections(det: DataFrame, max_items: int = K.MAX_DETECTIONS, fold_li
 
 
 def suppress_close_boxes(boxes: DataFrame, key: str, order: str, px: float, fold_limit: int = 2048) -> DataFrame:
-    """Keep a box unless an earlier kept one starts within ``px`` pixels in x and in y."""
-    return greedy_keep(boxes, key, [F.col(order)], _close_boxes(px), None, fold_limit)
+    """Keep a box unless an earlier kept one starts within ``px`` pixels in x and in y.
+
+    Boxes of one grid cell of that width exclude each other. In a large key every round
+    takes the first open box of each cell, keeps those without an earlier open box nearby
+    and removes what these exclude. The number of rounds follows the longest chain of
+    neighbours, and no cell is ever paired with itself. ``order`` is unique within the key.
+    """
+    small, large = split_hot(boxes, [key], fold_limit)
+    out = greedy_keep(small, key, [F.col(order)], _close_boxes(px), None, None)
+    if large is None:
+        return out
+    fields = [c for c in boxes.columns if c != key]
+    cell = lambda c: F.floor(F.col(c) / px).cast("bigint")
+    open_ = materialize(large.select(key, F.struct(order, *[c for c in fields if c != order]).alias("d"), cell("x1").alias("cx"), cell("y1").alias("cy")))
+    kept, near = None, F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    while not open_.isEmpty():
+        first = open_.groupBy(key, "cx", "cy").agg(F.min("d").alias("top"))
+        spread = first.select(key, "top", (F.col("cx")).alias("cx"), (F.col("cy")).alias("cy"), near.alias("dx")).select(
+            key, "top", (F.col("cx") + F.col("dx")).alias("cx"), "cy", near.alias("dy")).select(key, "top", "cx", (F.col("cy") + F.col("dy")).alias("cy"))
+        spread = materialize(spread)
+        met = spread.join(open_, [key, "cx", "cy"]).where(_close_boxes(px)(F.col("top"), F.col("d")))
+        blocked = met.where(F.col(f"d.{order}") < F.col(f"top.{order}")).select(key, F.col(f"top.{order}").alias("_o")).distinct()
+        tops = first.withColumn("_o", F.col(f"top.{order}"))
+        won = materialize(tops.join(blocked, [key, "_o"], "left_anti").select(key, "top", "_o"))
+        kept = won if kept is None else kept.unionByName(won)
+        gone = (spread.withColumn("_o", F.col(f"top.{order}")).join(won.select(key, "_o"), [key, "_o"], "left_semi").join(open_, [key, "cx", "cy"])
+                .where(_close_boxes(px)(F.col("top"), F.col("d"))).select(key, F.col(f"d.{order}").alias("_g")).distinct())
+        open_ = materialize(open_.withColumn("_g", F.col(f"d.{order}")).join(gone, [key, "_g"], "left_anti").drop("_g"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_o")) - 1
+    rest = kept.select(key, place.alias("keep_idx"), *[F.col(f"top.{c}").alias(c) for c in fields])
+    return out.unionByName(rest)
 
 
 def best_frame(det: DataFrame, frames: DataFrame | None = None) -> DataFrame:

@@ -114,12 +114,16 @@ def lookup_results(requests: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def finalise_receipts(stored: DataFrame | None, incoming: DataFrame, order: str,
-                      secret: bytes = b"", key_id: str | None = None) -> DataFrame:
+                      secret: bytes = b"", key_id: str | None = None, schema: str | None = None) -> DataFrame:
     """Receipts of finalised payloads; a different payload for the same claim is a conflict.
 
     Reads ``claim_id, payload_json``. A repeated payload returns the stored receipt
-    unchanged, whatever key is configured now.
+    unchanged, whatever key is configured now. With the payloads' ``schema`` their canonical
+    form is compared and signed, so the order of keys and blanks do not matter.
     """
+    if schema is not None:
+        canonical = lambda df: df.withColumn("payload_json", crypto.canonical_text(F.col("payload_json"), schema))
+        incoming, stored = canonical(incoming), stored if stored is None else canonical(stored)
     rows = first_writer(incoming, stored, "claim_id", "payload_json", order)
     made = rows.withColumn("_r", crypto.receipt(F.col("payload_json"), secret, key_id))
     cols = ["receipt", "algorithm", "key_id"]

@@ -185,6 +185,15 @@ def test_canonical_json_sorts_keys_and_keeps_nulls(spark):
     assert got == '{"a":[1,2],"b":2,"c":null}'
 
 
+def test_nested_payloads_in_two_key_orders_have_one_receipt(spark):
+    schema = "a array<struct<y int, x int>>, b struct<d string, c map<string, int>>"
+    texts = ['{"b":{"d":"q","c":{"n":2,"m":1}},"a":[{"y":1,"x":2}]}', '{"a": [{"x": 2, "y": 1}], "b": {"c": {"m": 1, "n": 2}, "d": "q"}}', "not json"]
+    rows = spark.createDataFrame([("c", k, t) for k, t in enumerate(texts)], "claim_id STRING, arrival INT, payload_json STRING")
+    got = L.finalise_receipts(None, rows, "arrival", schema=schema).orderBy("arrival").collect()
+    assert [r.verdict for r in got] == ["new", "same", "conflict"] and got[0].receipt == got[1].receipt
+    assert got[0].payload_json == '{"a":[{"x":2,"y":1}],"b":{"c":{"m":1,"n":2},"d":"q"}}'
+
+
 def test_long_hmac_keys(spark):
     key = b"k" * 100
     assert value(spark, crypto.hmac_sha256(key, F.lit("m"))) == hmac.new(key, b"m", hashlib.sha256).hexdigest()

@@ -92,7 +92,13 @@ select s.claim_id, doc_id, case when doc_id = d then 'new' when payload_json = p
 from sub s join first using (claim_id)""")
 def finalise_receipts(t):
     evidence = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.col("lang"))
-    return L.finalise_receipts(None, _payloads(t, evidence), "doc_id").select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
+    rows = _payloads(t, evidence)
+    # every other submission writes its keys in another order and with blanks
+    turned = F.concat(F.lit('{"note": null, "claim_id": '), F.col("claim_id").cast("string"), F.lit(', '),
+                      F.regexp_extract("payload_json", r'("digest":"[0-9a-f]+")', 1), F.lit("}"))
+    rows = rows.withColumn("payload_json", F.when(F.floor(F.col("doc_id") / 500) % 2 == 1, turned).otherwise(F.col("payload_json")))
+    done = L.finalise_receipts(None, rows, "doc_id", schema="claim_id bigint, digest string, note string")
+    return done.select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
 
 
 def _payloads(t, evidence=None):
