@@ -80,13 +80,28 @@ def op9_rnn_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rnn_lm.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query("""with w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from (select doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents)),
+p as (select doc_id, i, word, string_agg(word, ' ') over v as win, count(*) over v as k from w
+  window v as (partition by doc_id order by i rows between current row and 12 following)),
+f as (select win, min(doc_id) as least_doc from p where k = 13 group by win),
+s as (select p.doc_id, i, word, max(case when k = 13 and least_doc < p.doc_id then 1 else 0 end)
+    over (partition by p.doc_id order by i rows between 12 preceding and current row) as gone
+  from p left join f on p.win = f.win)
+select d.doc_id, count(word) as n_words, cast(coalesce(sum(gone), 0) as bigint) as n_removed,
+  sha256(coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '')) as kept_sha256
+from documents d left join s on s.doc_id = d.doc_id group by d.doc_id""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0)
+select * from (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from p)
+where rank <= 20""")
 def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
