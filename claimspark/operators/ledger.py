@@ -58,13 +58,15 @@ def request_collisions(events: DataFrame) -> DataFrame:
             .select("request_id", *IDENTITY, "events"))
 
 
-def upsert_transactions(stored: DataFrame, events: DataFrame) -> DataFrame:
+def upsert_transactions(stored: DataFrame, events: DataFrame | None) -> DataFrame:
     """Fold new events into a stored ledger of :func:`fold_events` rows; the result is such a ledger.
 
+    Without events the stored rows are folded to one per identity.
+
     The folded form keeps arrival order and the events of every identity, so collisions and
     ties survive any number of upserts. :func:`settle` gives the current rows.
     """
-    both = stored.unionByName(fold_events(events))
+    both = stored if events is None else stored.unionByName(fold_events(events))
     return both.groupBy("request_id", *IDENTITY).agg(
         F.min("first_seen").alias("first_seen"), F.max("latest").alias("latest"), F.sum("events").alias("events"))
 

@@ -66,9 +66,10 @@ def filter_detections(t):
 
 @query("""select vec_id, vec_id % 11 <> 0 and vec_id % 3 <> 1 as valid from {embeddings}""")
 def valid_detections(t):
-    box = lambda start, size: F.struct(F.slice("embedding", start, size).alias("bbox"))
-    second = F.when(F.col("vec_id") % 3 == 1, 2).otherwise(4)
-    payload = F.when(F.col("vec_id") % 11 != 0, F.array(box(1, 4), box(5, second)))
+    """One box for every four values; a third of the payloads have one that is cut short."""
+    size = lambda i: F.when((F.col("vec_id") % 3 == 1) & (i == F.col("vec_id") % 16), 2).otherwise(4)
+    boxes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(F.slice("embedding", i * 4 + 1, size(i)).alias("bbox")))
+    payload = F.when(F.col("vec_id") % 11 != 0, boxes)
     return t.embeddings.select("vec_id", D.valid_payload(payload).alias("valid"))
 
 
