@@ -72,21 +72,18 @@ def even_positions(total: Column, n: int) -> Column:
 
 
 def _same_area(a: Column, b: Column) -> Column:
-    """Do two observations with the same label show the same damage area?"""
+    """Do two observations with the same label show the same damage area? Unlabelled ones never do."""
     iou = box_iou([a[c] for c in BOX], [b[c] for c in BOX])
-    centre = lambda d, lo, hi, side: (d[lo] + d[hi]) / 2 / F.greatest(F.lit(1), d[side])
-    dx = centre(a, "x1", "x2", "frame_width") - centre(b, "x1", "x2", "frame_width")
-    dy = centre(a, "y1", "y2", "frame_height") - centre(b, "y1", "y2", "frame_height")
+    dx, dy = a["_cx"] - b["_cx"], a["_cy"] - b["_cy"]
     moved = (iou >= K.OTHER_FRAME_IOU) | (F.sqrt(dx * dx + dy * dy) <= K.CENTRE_DISTANCE)
-    return (a["label_norm"] == b["label_norm"]) & F.when(
-        a["frame_index"] == b["frame_index"], iou >= K.SAME_FRAME_IOU).otherwise(moved)
+    return a["_known"] & F.when(a["frame_index"] == b["frame_index"], iou >= K.SAME_FRAME_IOU).otherwise(moved)
 
 
 def _close_boxes(px: float):
     return lambda a, b: (F.abs(a["x1"] - b["x1"]) < px) & (F.abs(a["y1"] - b["y1"]) < px)
 
 
-def greedy_keep(rows: DataFrame, key: str, order: list[Column], conflict,
+def greedy_keep(rows: DataFrame, keys: list[str], order: list[Column], conflict,
                 max_items: int | None, fold_limit: int | None = 2048) -> DataFrame:
     """Walk each key's rows in order and keep a row unless a kept one conflicts with it.
 
@@ -96,12 +93,12 @@ def greedy_keep(rows: DataFrame, key: str, order: list[Column], conflict,
     first remaining row is always kept by the greedy walk, so both ways agree.
     ``max_items=None`` keeps all survivors; ``fold_limit=None`` says that no key is large.
     """
-    fields = [c for c in rows.columns if c != key]
+    fields = [c for c in rows.columns if c not in keys]
     ordered = rows.withColumn("_ord", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     item = F.struct("_ord", *fields)
-    small, large = (ordered, None) if fold_limit is None else split_hot(ordered, [key], fold_limit)
+    small, large = (ordered, None) if fold_limit is None else split_hot(ordered, keys, fold_limit)
 
-    packed = small.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    packed = small.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = packed.schema["items"].dataType
 
     def step(kept: Column, cand: Column) -> Column:
@@ -109,19 +106,19 @@ def greedy_keep(rows: DataFrame, key: str, order: list[Column], conflict,
         full = F.lit(False) if max_items is None else F.size(kept) >= max_items
         return F.when(full | clash, kept).otherwise(F.array_append(kept, cand))
 
-    kept = packed.select(key, F.posexplode(F.aggregate("items", F.array().cast(kind), step)).alias("keep_idx", "d"))
-    out = kept.select(key, "keep_idx", *[F.col(f"d.{c}").alias(c) for c in fields])
+    kept = packed.select(*keys, F.posexplode(F.aggregate("items", F.array().cast(kind), step)).alias("keep_idx", "d"))
+    out = kept.select(*keys, "keep_idx", *[F.col(f"d.{c}").alias(c) for c in fields])
     if large is None:
         return out
-    rest = large.select(key, item.alias("d"))
+    rest = large.select(*keys, item.alias("d"))
     rest, rounds = materialize(rest), 0
     while (max_items is None or rounds < max_items) and not rest.isEmpty():
-        first = materialize(rest.groupBy(key).agg(F.min("d").alias("top")))
-        out = out.unionByName(first.select(key, F.lit(rounds).alias("keep_idx"),
+        first = materialize(rest.groupBy(*keys).agg(F.min("d").alias("top")))
+        out = out.unionByName(first.select(*keys, F.lit(rounds).alias("keep_idx"),
                                            *[F.col(f"top.{c}").alias(c) for c in fields]))
-        rest = materialize(rest.join(first, key)
+        rest = materialize(rest.join(first, keys)
                            .where((F.col("d._ord") != F.col("top._ord")) & ~conflict(F.col("top"), F.col("d")))
-                           .select(key, "d"))
+                           .select(*keys, "d"))
         rounds += 1
     return out
 
@@ -129,13 +126,19 @@ def greedy_keep(rows: DataFrame, key: str, order: list[Column], conflict,
 def dedupe_detections(det: DataFrame, max_items: int = K.MAX_DETECTIONS, fold_limit: int = 2048) -> DataFrame:
     """Distinct damage areas per claim, best confidence first, at most ``max_items``.
 
-    ``keep_idx`` is the position of a detection in the retained list.
+    Only equal labels conflict, so each (claim, label) is folded by itself and the first
+    ``max_items`` of a claim are taken from what remains. ``keep_idx`` is the position of a
+    detection in the retained list.
     """
     cols = ["claim_id", "det_seq", "label", "confidence", *BOX, "frame_index", "frame_width", "frame_height"]
     cols += [c for c in det.columns if c not in cols and c != "label_norm"]
-    rows = with_label_norm(det.select(*cols))
-    return greedy_keep(rows, "claim_id", [-F.col("confidence"), F.col("det_seq")],
-                       _same_area, max_items, fold_limit)
+    order = [-F.col("confidence"), F.col("det_seq")]
+    share = lambda lo, hi, side: (F.col(lo) + F.col(hi)) / 2 / F.greatest(F.lit(1), F.col(side))
+    rows = (with_label_norm(det.select(*cols)).withColumn("_cx", share("x1", "x2", "frame_width"))
+            .withColumn("_cy", share("y1", "y2", "frame_height")).withColumn("_known", F.col("label_norm").isNotNull()))
+    kept = greedy_keep(rows, ["claim_id", "label_norm"], order, _same_area, max_items, fold_limit).drop("keep_idx", "_cx", "_cy", "_known")
+    first = top_per_key(kept, ["claim_id"], order, max_items, "_place")
+    return first.withColumn("keep_idx", (F.col("_place") - 1).cast("int")).drop("_place")
 
 
 def suppress_close_boxes(boxes: DataFrame, key: str, order: str, px: float, fold_limit: int = 2048) -> DataFrame:
@@ -147,7 +150,7 @@ def suppress_close_boxes(boxes: DataFrame, key: str, order: str, px: float, fold
     neighbours, and no cell is ever paired with itself. ``order`` is unique within the key.
     """
     small, large = split_hot(boxes, [key], fold_limit)
-    out = greedy_keep(small, key, [F.col(order)], _close_boxes(px), None, None)
+    out = greedy_keep(small, [key], [F.col(order)], _close_boxes(px), None, None)
     if large is None:
         return out
     fields = [c for c in boxes.columns if c != key]
