@@ -9,7 +9,7 @@ bound reaches the query's k-th largest lower bound, so nothing is cut by a fixed
 Vectors are packed into blocks. Every query block meets every data block of its dimension; a task
 takes a query block and a group of data blocks and keeps the best k of each query.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
+Defined results: rows without an id and vectors that are null, empty, zero or hold null or non-finite components take no
 part; vectors of different lengths are not compared; repeated ids are candidates each on their own,
 one of them (the least vector) is the query; ties go to the smaller id; fewer candidates than k give
 fewer rows; an empty table gives none. Only id and vector are read, so other columns' names do not matter.
