@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import crypto
 
 IDENTITY = ("claim_id", "owner_id")
@@ -49,6 +50,16 @@ def latest_transactions(events: DataFrame) -> DataFrame:
     return settle(fold_events(events))
 
 
+def split_domain(rows: DataFrame, column: str = "state", domain: tuple[str, ...] = K.TRANSACTION_STATES) -> tuple[DataFrame, DataFrame]:
+    """(rows whose value belongs to the domain, the others); a NULL belongs to none.
+
+    For offline claims pass ``status`` with ``OFFLINE_STATUSES`` or, for what may be queued,
+    ``QUEUEABLE_STATUSES``.
+    """
+    known = F.coalesce(F.col(column).isin(*domain), F.lit(False))
+    return rows.where(known), rows.where(~known)
+
+
 def request_collisions(events: DataFrame) -> DataFrame:
     """Identities that tried to reuse a request id they do not own."""
     groups = fold_events(events)

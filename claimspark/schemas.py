@@ -1,24 +1,5 @@
-"""DDL of the stored tables. Additions are optional columns, filled with NULL on read."""
+"""DDL of the stored fingerprint table. Additions are optional columns, filled with NULL on read."""
 
 FINGERPRINTS = (
     "claim_id STRING, file_sha256 STRING, frame_index INT, phash STRING, created_at TIMESTAMP, dhash STRING, "
     "ahash STRING, color_sig STRING, motion_sig STRING, capture_timestamp STRING, gps_lat DOUBLE, gps_lon DOUBLE")
-CLAIM_FINGERPRINT = (
-    "claim_id STRING, file_sha256 STRING, phash_seq ARRAY<STRING>, dhash_seq ARRAY<STRING>, ahash_seq ARRAY<STRING>, "
-    "color_sig ARRAY<DOUBLE>, motion_sig ARRAY<INT>, capture_timestamp STRING, gps_lat DOUBLE, gps_lon DOUBLE, "
-    "is_legacy BOOLEAN")
-TRANSACTIONS = (
-    "request_id STRING, claim_id STRING, owner_id STRING, state STRING, outcome_json STRING, "
-    "created_at TIMESTAMP, updated_at TIMESTAMP")
-RESULTS = "claim_id STRING, owner_id STRING, response_json STRING, created_at TIMESTAMP"
-RECEIPTS = ("claim_id STRING, receipt STRING, algorithm STRING, key_id STRING, payload_json STRING, created_at TIMESTAMP")
-DETECTIONS = (
-    "claim_id STRING, det_seq BIGINT, class_id INT, label STRING, confidence DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, "
-    "y2 DOUBLE, frame_index INT, frame_width INT, frame_height INT, detector STRING")
-SEVERITY_RESULTS = (
-    "claim_id STRING, detection_id STRING, result_seq BIGINT, severity STRING, note STRING, reasoning ARRAY<STRING>, "
-    "replay_suspected STRING, replay_confidence DOUBLE, replay_evidence ARRAY<STRING>")
-OFFLINE_CLAIMS = (
-    "owner_id STRING, claim_id STRING, status STRING, queued BOOLEAN, failed BOOLEAN, size_bytes BIGINT, "
-    "created_at TIMESTAMP, last_modified TIMESTAMP")
-QUEUE_EVENTS = "claim_id STRING, event_seq BIGINT, event_ts TIMESTAMP, action STRING"

@@ -206,6 +206,12 @@ def test_ledger_keeps_state_and_ignores_foreign_owner(spark):
     assert (row.state, row.owner_id, row.collisions) == ("UPLOADING", "owner-test", 1)
 
 
+def test_rows_outside_the_state_domain_are_set_apart(spark):
+    ev = spark.createDataFrame([("a", "UPLOADING"), ("b", "uploading"), ("c", None), ("d", "NO_DAMAGE")], "request_id STRING, state STRING")
+    good, bad = L.split_domain(ev)
+    assert sorted(r.request_id for r in good.collect()) == ["a", "d"] and sorted(r.request_id for r in bad.collect()) == ["b", "c"]
+
+
 def test_page_bounds(spark):
     ledger = spark.range(300).select(F.col("id").alias("request_id"), F.col("id").alias("updated_at"))
     assert L.ledger_page(ledger, 500, -3).count() == 100

@@ -85,11 +85,6 @@ select event_id % 997 as claim_id, event_id as event_seq, ts as event_ts,
   case event_type when 'view' then 'queued' when 'click' then 'started' when 'signup' then 'uploaded'
     when 'purchase' then 'invalid' else 'failed' end as action
 from {events}""",
-    "captures": """
-select c.event_id as claim_id, c.ts as capture_ts,
-  cast(19.05 + (c.event_id % 40) * 0.0005 as double) as lat,
-  cast(72.85 + ((c.event_id * 7) % 40) * 0.0005 as double) as lon
-from {events} c""",
     "scene_history": """
 select s.claim_id, s.color_sig, e.ts as capture_ts,
   cast(19.05 + (s.claim_id % 40) * 0.0005 as double) as lat, cast(72.85 + (s.claim_id % 40) * 0.0007 as double) as lon
