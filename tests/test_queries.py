@@ -7,6 +7,8 @@ from workload import catalog
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
+#: Request ids repeat from 4 000 events on, so the smallest data has no collision.
+MAY_BE_EMPTY = {"request_collisions"}
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
@@ -19,7 +21,7 @@ def con():
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:
-        assert compare(df, con, ORACLES[name]) is None
+        assert compare(df, con, ORACLES[name]) in ((None, "EMPTY") if name in MAY_BE_EMPTY else (None,))
     else:
         assert df.count() > 0
 
