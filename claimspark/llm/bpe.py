@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces kept per task before the cache is emptied; it bounds memory only.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 80_000
 #: Longer pieces are encoded each time they occur.
 CACHE_CHARS = 64
 
@@ -120,7 +120,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32, copy=False)))
 
 
-def _slices(b: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes in one column; a single longer row is a part."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0))
     part = np.cumsum(sizes) // most

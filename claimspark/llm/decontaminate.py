@@ -45,7 +45,7 @@ class Settings:
     shingle: int = 5
     block: int = 64  # items
     shard: int = 20_000  # items in one broadcast index
-    cells: int = 2_000_000  # scores a task holds at once
+    cells: int = 400_000  # scores a task holds at once
 
 
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -204,7 +204,7 @@ def indexes(benchmark: DataFrame, s: Settings, key: str = "item_id", text: str =
         yield build(rows, found, n, mean, s)
 
 
-def _batches(texts: list[bytes], most: int = 2_000_000):
+def _batches(texts: list[bytes], most: int = 500_000):
     """(from, to) of runs of texts of about ``most`` bytes."""
     lo, size = 0, 0
     for k, t in enumerate(texts):
