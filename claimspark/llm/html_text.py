@@ -2,7 +2,7 @@
 
 First pass: every page emits the distinct hashes of its element subtrees (tag, class, id and
 role, text, children). Spark counts, per host, with how many different contents each subtree
-occurs. Second pass: subtrees that recur across many contents of their host are deleted, along
+occurs. Second pass: subtrees that recur with several contents of their host are deleted, along
 with elements whose tag or class says that they are no article text.
 
 What a reader came for is protected: headings, paragraphs, lists and the like inside an article
@@ -33,8 +33,7 @@ from .urls import host
 
 @dataclass(frozen=True)
 class Settings:
-    least_contents: int = 3  # a template recurs with at least so many different contents of its host
-    least_share: float = 0.3  # and with at least this share of them
+    least_contents: int = 3  # a template recurs with at least so many different contents of its host, whatever their number
     salts: int = 32  # parts of a host's pages
 
 
@@ -216,11 +215,11 @@ def subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
             hosts, contents, trees = [], [], []
             for h, page in zip(b.column(0).to_pylist(), b.column(1)):
                 root = parse(page.as_py())
-                found = {_signed(n.digest) for n in walk(root) if removable(n) and not n.noise and n.tag not in INLINE}
+                found = {_signed(n.digest) for n in walk(root) if removable(n) and n.tag not in INLINE}
                 content = _signed(xxhash.xxh3_64_intdigest(text_of(content_root(root)).encode("utf-8", "surrogatepass")))
-                hosts += [h] * (len(found) + 1)
-                contents += [content] * (len(found) + 1)
-                trees += [None, *found]  # null: the page itself
+                hosts += [h] * len(found)
+                contents += [content] * len(found)
+                trees += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(trees, pa.int64())],
                                              names=["host", "content", "subtree"])
 
@@ -229,25 +228,34 @@ def subtrees(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 
 def templates(found: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(host, subtrees): the hashes that recur across many contents of the host."""
-    counts = materialize(found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")))
-    all_of = counts.filter(F.col("subtree").isNull()).select(F.col("host").alias("h"), F.col("n").alias("contents"))
-    often = counts.filter(F.col("subtree").isNotNull() & (F.col("n") >= s.least_contents)).join(all_of, F.col("host") == F.col("h"))
-    return often.filter(F.col("n") >= s.least_share * F.col("contents")).groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+    """(host, subtrees): the hashes that recur with several different contents of the host."""
+    counts = found.filter(F.col("host").isNotNull()).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") >= s.least_contents).groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
 
 
 def main_text(pages: DataFrame, known: DataFrame, s: Settings = Settings(), key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, text) of every page, given the templates of the hosts."""
+    """(key, url, text) of every page, given the templates of the hosts.
+
+    A task reads the templates of a host once, before that host's pages: their number grows with the host.
+    """
     salted = _pages(pages, key, url, html).withColumn("salt", F.pmod(F.xxhash64("html", "key"), F.lit(s.salts)))
-    spread = known.select(F.col("host").alias("_host"), "subtrees", F.explode(F.sequence(F.lit(0), F.lit(s.salts - 1))).alias("_salt"))
-    rows = salted.join(spread.hint("shuffle_hash"), (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
+    spread = known.select("host", "subtrees", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(s.salts - 1).cast("long"))).alias("salt"))
+    rows = spread.unionByName(salted, allowMissingColumns=True).select("host", "salt", "subtrees", "key", "url", "html")
+    rows = rows.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("html").isNotNull())
 
     def run(batches):
+        at, known_here = None, frozenset()
         for b in batches:
-            texts = [extract(page.as_py(), frozenset(x & (2**64 - 1) for x in t) if t else frozenset())
-                     for page, t in zip(b.column(2), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["key", "url", "text"])
+            texts, page = [], []
+            for k, (h, salt, t) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if t is not None:
+                    at, known_here = (h, salt), frozenset(x & (2**64 - 1) for x in t)
+                else:
+                    page.append(k)
+                    texts.append(extract(b.column(5)[k].as_py(), known_here if at == (h, salt) else frozenset()))
+            some = b.take(pa.array(page, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(3), some.column(4), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     kind = dict(pages.dtypes)[key]
-    out = rows.select("key", "url", "html", "subtrees").mapInArrow(run, f"key {kind}, url string, text string")
+    out = rows.mapInArrow(run, f"key {kind}, url string, text string")
     return out.withColumnRenamed("key", key)
