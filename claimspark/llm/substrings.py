@@ -1,18 +1,17 @@
-"""Substring de-duplication with prefix-partitioned suffix trees over words.
+"""Substring de-duplication by grouping equal windows of words; no suffix trees are built.
 
 A window is ``window`` consecutive words of one document; a word goes if a window that covers it
-also starts in a document with a smaller key. The suffixes that matter are found and dealt out by
-prefixes of variable length:
+also starts in a document with a smaller key. The windows that matter are found and dealt out by hashes:
 
-1. Of each window only the anchor is kept, its ``anchor``-word prefix-gram with the least hash;
+1. Of each window only the anchor is kept, its ``anchor``-word gram with the least hash;
    equal windows have equal anchors. Grams that occur once in the corpus are dropped. A task first
    joins its own repeats, so a gram that a third of all documents share is sent once a chunk.
 2. The suffixes at the other anchors, with the words of their windows, are dealt out by the gram,
    and those of very frequent grams by the whole window, so that a group fits in memory. A chunk
    settles windows that it holds several times and sends on those of its smallest document.
-3. Each group's suffixes are sorted; neighbours' common prefixes are counted in words. Runs with
-   common prefixes of ``window`` words or more are the deep internal nodes of the group's subtree,
-   their leaves the occurrences of a repeat.
+3. Each group's windows are sorted by a hash of all their words and compared word by word with their
+   neighbours. A run of equal windows is what a suffix tree's nodes of depth ``window`` or more would
+   hold, the occurrences of a repeat; longer common prefixes are not counted.
 
 Words are compared by 64-bit hashes. Defined results: a null text has no words; texts of fewer
 words than a window keep all; a null key counts as larger than all others; repeated rows (same
@@ -196,7 +195,7 @@ def repeated_anchors(source: DataFrame, buckets: int, s: Settings) -> DataFrame:
 def settle(hashes: np.ndarray, start: np.ndarray, key: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes that begin at ``start`` of an array of words: whether a smaller key has the window, and the node of each.
 
-    The suffixes are sorted by their first words; runs whose neighbours share a window are a node.
+    The windows are sorted by a hash of their words; runs whose neighbours share a window are a node.
     """
     value = np.zeros(len(start), dtype=U64)
     for k, p in enumerate(powers(s.window)):
