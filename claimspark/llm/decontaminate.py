@@ -2,8 +2,8 @@
 
 Each document is cut into overlapping passages, twice as long as the longest item, that begin
 half a passage apart, so an item that a document holds lies whole in a passage. Scores are divided by the
-item's score against itself, so one threshold fits all items. The search is block-max WAND for
-batches of passages: lists of frequent terms, whose maxima together stay below a share of the
+item's score against itself, so one threshold fits all items. The search is a MaxScore split with
+block maxima for batches of passages, without pivots or skipped blocks: lists of frequent terms, whose maxima together stay below a share of the
 threshold, cannot retrieve an item alone and are not walked; sums over the other lists pick the
 candidates; the frequent terms' maxima in the candidate's block of items then bound its score;
 only what can still pass is scored in full. Every item at or above the threshold is retrieved.
