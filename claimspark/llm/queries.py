@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import ann, bpe, decontaminate, html_text, quality, rnn_lm, secrets, simhash, substrings, urls
+from . import ann, bpe, centroids, decontaminate, html_text, quality, rnn_lm, secrets, simhash, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,26 @@ def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def clusters_sql(rounds: int = 3) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select rid, vec_id, e, arg_min(c, (d, c)) as c, min(d) as d from (select v.rid, v.vec_id, v.e, c.c,
+  cast(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v cross join c{r} c) group by all)""")
+        if r < rounds:
+            steps.append(f"""m{r} as (select c, list((s - ((s % n) + n) % n) // n order by i) as e from (select c, i, cast(sum(x) as bigint) as s, count(*) as n
+  from (select c, unnest(e) as x, generate_subscripts(e, 1) as i from a{r}) group by c, i) group by c),
+c{r + 1} as materialized (select c.c, coalesce(m.e, c.e) as e from c{r} c left join m{r} m on m.c = c.c)""")
+    return f"""with v as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as e
+  from embeddings where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+c0 as materialized (select row_number() over (order by h nulls last, e) - 1 as c, e from (select sha256('1:' || vec_id) as h, e from v order by h nulls last, e limit 16)),
+{", ".join(steps)}
+select vec_id, cast(a.c as integer) as cluster, d as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c.e, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on c.c = a.c"""
+
+
+@query(clusters_sql())
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
