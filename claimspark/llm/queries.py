@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import ann, bpe, centroids, decontaminate, html_text, quality, rnn_lm, secrets, simhash, substrings, urls
+from . import ann, bpe, centroids, decontaminate, html_text, quality, rnn_lm, secrets, simhash, substrings, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,13 @@ from a{rounds} a join c{rounds} c on c.c = a.c"""
 @query(clusters_sql())
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("""select page_id, octet_length(encode(h)) as payload_bytes, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+    lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(sha1(h), 1 + 5 * g::int, 5))::int >> b::int) & 31)]), '')), '') as payload_digest,
+  case when page_id is not distinct from m then 'response' else 'revisit' end as record_type, case when page_id is distinct from m then m end as refers_to
+from (select page_id, h, max(page_id) over (partition by h) as m from (select page_id, coalesce(html, '') as h from pages))""")
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                       F.col("type").alias("record_type"), "refers_to")
