@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from . import ann, bpe, centroids, decontaminate, html_text, quality, rnn_lm, secrets, simhash, substrings, urls, warc
+from . import ann, bpe, centroids, decontaminate, html_text, phrases, quality, rnn_lm, secrets, simhash, substrings, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,22 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                        F.col("type").alias("record_type"), "refers_to")
+
+
+@query("""with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+p as (select lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) as x from t),
+w as (select lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda y: y <> '') as ws from p),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, range(1, 5) r(k)),
+f as materialized (select lang, k, phrase, count(*) as f from g group by all),
+n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+c as materialized (select * from f where k > 1 and f >= 30),
+s as (select c.lang, c.phrase, c.k, c.f as a, x.f as l, y.f as r, j, cast((2000000::hugeint * c.f) // (x.f + y.f) as bigint) as score
+  from c, range(1, 4) q(j), f x, f y where j < c.k and x.lang = c.lang and y.lang = c.lang
+    and x.phrase = array_to_string(string_split(c.phrase, ' ')[:j], ' ') and y.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')),
+m as (select lang, phrase, k, any_value(a) as a, unnest(arg_min({'l': l, 'r': r, 'score': score}, (score, j))) from s group by lang, phrase, k),
+e as (select * from m where not exists (select 1 from c where c.lang = m.lang and c.k > m.k and 100 * c.f >= 80 * m.a
+  and contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' '))),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from e)
+select o.lang, rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang where rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
