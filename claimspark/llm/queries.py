@@ -152,9 +152,10 @@ g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i:
 f as materialized (select lang, k, phrase, count(*) as f from g group by all),
 n as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
 c as materialized (select * from f where k > 1 and f >= 30),
-s as (select c.lang, c.phrase, c.k, c.f as a, x.f as l, y.f as r, j, cast((2000000::hugeint * c.f) // (x.f + y.f) as bigint) as score
-  from c, range(1, 4) q(j), f x, f y where j < c.k and x.lang = c.lang and y.lang = c.lang
-    and x.phrase = array_to_string(string_split(c.phrase, ' ')[:j], ' ') and y.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')),
+h as materialized (select lang, k, phrase, f as a, j, array_to_string(string_split(phrase, ' ')[:j], ' ') as head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') as rest
+  from c, range(1, 4) q(j) where j < k),
+s as (select h.lang, h.phrase, h.k, a, x.f as l, y.f as r, j, cast((2000000::hugeint * a) // (x.f + y.f) as bigint) as score
+  from h join f x on x.lang = h.lang and x.phrase = h.head join f y on y.lang = h.lang and y.phrase = h.rest),
 m as (select lang, phrase, k, any_value(a) as a, unnest(arg_min({'l': l, 'r': r, 'score': score}, (score, j))) from s group by lang, phrase, k),
 e as (select * from m where not exists (select 1 from c where c.lang = m.lang and c.k > m.k and 100 * c.f >= 80 * m.a
   and contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' '))),
