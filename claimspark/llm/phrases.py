@@ -50,7 +50,7 @@ class Settings:
     top: int = 2000
     spare: int = 2  # the first level lets through so many times ``top`` pairs
     bits: int = 25  # of a table of hashes: 2**bits bits
-    tokens: int = 4 << 20  # held by a task at once
+    tokens: int = 2 << 20  # held by a task at once
     slice_bytes: int = 1 << 20
     salts: int = 64
 
@@ -72,14 +72,21 @@ def slices(text: bytes, size: int):
         at = end
 
 
-def by_language(batches):
-    """(language, text) with the texts of a batch and language as one, pieces kept apart."""
+def by_language(batches, size: int):
+    """(language, text) with the texts of a language, about ``size`` bytes of them, as one; pieces kept apart."""
+    held: dict[str, list[bytes]] = {}
+    total = 0
     for b in batches:
-        held: dict[str, list[bytes]] = {}
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(lang, []).append(text)
-        for lang, texts in held.items():
-            yield lang, b".".join(texts)
+        for lang, text in zip(b.column(0), b.column(1)):
+            text = text.as_py()
+            held.setdefault(lang.as_py(), []).append(text)
+            total += len(text) + 1
+            if total >= size:
+                for lang, texts in held.items():
+                    yield lang, b".".join(texts)
+                held, total = {}, 0
+    for lang, texts in held.items():
+        yield lang, b".".join(texts)
 
 
 # ---- tables of bits -----------------------------------------------------------------------------
@@ -157,10 +164,10 @@ def word_counts(texts: DataFrame, s: Settings) -> DataFrame:
                                                       pa.array([sum(words.values()), *words.values()], pa.int64())], schema=SCHEMA)
             held.clear()
 
-        for lang, text in by_language(batches):
+        for lang, text in by_language(batches, 2 * s.slice_bytes):
             for words in slices(text, s.slice_bytes):
                 held.setdefault(lang, Counter()).update(words)
-                if sum(map(len, held.values())) > 500_000:
+                if sum(map(len, held.values())) > 300_000:
                     yield from out()
         yield from out()
 
@@ -186,7 +193,7 @@ class Ids:
                 self.number[new[i]] = len(self.words)
                 self.words.append(new[i])
                 self.hashes.append(int(hashes[i]))
-        self.parts.append(np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words)))
+        self.parts.append(np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words)))
         self.n += len(words)
 
     def take(self, k: int) -> tuple[np.ndarray, int]:
@@ -197,7 +204,7 @@ class Ids:
         return ids, context
 
     def ended(self) -> None:
-        self.parts.append(np.zeros(1, np.int64))
+        self.parts.append(np.zeros(1, np.int32))
         self.n += 1
 
     def forget(self) -> None:
@@ -206,7 +213,7 @@ class Ids:
         kept = [i for i in dict.fromkeys(ids.tolist()) if i]
         self.words, self.hashes = [b"", *(words[i] for i in kept)], [0, *(hashes[i] for i in kept)]
         self.number = {w: i for i, w in enumerate(self.words) if i}
-        self.parts = [np.array([self.number.get(words[i], 0) for i in ids.tolist()], np.int64)]
+        self.parts = [np.array([self.number.get(words[i], 0) for i in ids.tolist()], np.int32)]
 
 
 @dataclass
@@ -250,7 +257,7 @@ def phrase_counts(texts: DataFrame, want: Wanted, s: Settings) -> DataFrame:
                 at = want.at(ids, np.array(x.hashes, U64), context)
                 if not len(at):
                     continue
-                code, size = ids[at], len(x.words)
+                code, size = ids[at].astype(np.int64), len(x.words)
                 for j in range(1, want.k):
                     # short codes, so that the next word still fits 64 bits
                     code = code if j == 1 else np.unique(code, return_inverse=True)[1]
@@ -262,7 +269,7 @@ def phrase_counts(texts: DataFrame, want: Wanted, s: Settings) -> DataFrame:
                     part = phrase.slice(lo, 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), part.cast(pa.string()), pa.array(n[lo : lo + 100_000], pa.int64())], schema=SCHEMA)
 
-        for lang, text in by_language(batches):
+        for lang, text in by_language(batches, 2 * s.slice_bytes):
             x = held.setdefault(lang, Ids(lang))
             for words in slices(text, s.slice_bytes):
                 x.add(words, want.words)
