@@ -87,7 +87,7 @@ def _legacy(t):
 def legacy_hash_match(t):
     i = M.hash_frames(_frames(t.match_incoming, False))
     bare = _legacy(t).select("claim_id", X.hash_bits(F.col("phash")).alias("bits"))
-    return M.legacy_match(i, bare, M.hamming_pairs(i, bare))
+    return M.legacy_match(i, bare, M.hamming_pairs(i, bare, classes=True))
 
 
 @query("""select a.bits as l_bits, b.bits as r_bits, bit_count(xor(a.bits, b.bits))::bigint as distance
