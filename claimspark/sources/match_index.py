@@ -66,6 +66,8 @@ class MatchIndex:
         # one file per bucket and batch
         rows = rows.repartition(self.buckets, *keys) if keys else rows.coalesce(1)
         rows.write.insertInto(f"{self.name}_{name}")
+        # rows may come from another session (a micro-batch has its own), which keeps its own list of files
+        self.spark.catalog.refreshTable(f"{self.name}_{name}")
 
     def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
         """Rows dealt out as the buckets are, so that joins leave the stored side where it is."""
