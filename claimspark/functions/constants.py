@@ -111,6 +111,7 @@ STAGE_NAMES = (
     "Visual tampering and screen replay", "Face and liveness assessment",
     "Public-web reverse search",
 )
+STAGE_KEYS = ("stage1_exif", "stage2_phash", "stage3_ela", "stage4_deepfake", "stage5_reverse_search")
 STAGE_SHORT_NAMES = (
     "Metadata and container integrity", "Duplicate and motion fingerprint",
     "Visual tampering", "Face and liveness", "Public-web reverse search",

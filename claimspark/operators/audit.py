@@ -83,28 +83,56 @@ def audit_badge(stages: DataFrame) -> DataFrame:
                       .when(F.col("unavailable"), "Not Available").otherwise("Manual Review").alias("badge"))
 
 
-def normalize_audit(df: DataFrame, raw: str = "report") -> DataFrame:
-    """Default every missing part of a stored audit report struct.
+def truthy(v: Column, path: str) -> Column:
+    """Text of a VARIANT's field; NULL where it is missing, null, empty, zero or false."""
+    text = F.try_variant_get(v, path, "string")
+    zero = F.try_variant_get(v, path, "double") == 0
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    blank = F.when(kind == "STRING", text == "").when(kind == "BOOLEAN", text == "false").otherwise(zero)
+    return F.when(~F.coalesce(blank, F.lit(False)), text)
 
-    Reads ``report.overallStatus``, ``report.schema_version``, ``report.timestamp`` (epoch
-    seconds or ISO text, as string) and ``report.stages[1..5]{stage, name, shortName, status, details}``.
+
+def audit_struct(v: Column, now: Column) -> Column:
+    """A stored audit report (VARIANT) with every missing part set to its default.
+
+    Stages are found under their keys, or by place in an array ``stages``. Numbers are epoch seconds; any other time is
+    kept as written, and ``now`` stands for none. ``metricLabel`` and ``metricValue`` are kept as they are.
     """
-    r = F.col(raw)
-    epoch = r["timestamp"].try_cast("double")
-    utc = F.to_utc_timestamp(F.timestamp_millis(F.floor(epoch * 1000)), F.current_timezone())
-    iso = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    epoch = F.when(~F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant")).isin("STRING", "BOOLEAN"), F.try_variant_get(v, "$.timestamp", "double"))
+    iso = lambda t: F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    number = lambda path: F.nullif(F.try_variant_get(v, path, "string").try_cast("double"), F.lit(0.0)).cast("int")
 
     def stage(n: int) -> Column:
-        s = F.get(r["stages"], F.lit(n - 1))
-        text = lambda c, default: F.coalesce(F.nullif(s[c], F.lit("")), F.lit(default))
-        short = K.STAGE_SHORT_NAMES[n - 1]
-        return F.struct(F.coalesce(F.nullif(s["stage"], F.lit(0)), F.lit(n)).alias("stage"),
+        key, short = K.STAGE_KEYS[n - 1], K.STAGE_SHORT_NAMES[n - 1]
+        s = F.coalesce(F.try_variant_get(v, f"$.{key}", "variant"), F.try_variant_get(v, f"$.stages[{n - 1}]", "variant"))
+        text = lambda c, default: F.coalesce(truthy(s, f"$.{c}"), F.lit(default))
+        status = F.try_variant_get(s, "$.status", "string")
+        return F.struct(F.lit(key).alias("key"), F.coalesce(F.nullif(F.try_variant_get(s, "$.stage", "string").try_cast("double"), F.lit(0.0)).cast("int"), F.lit(n)).alias("stage"),
                         text("name", f"Layer {n}: {short}").alias("name"), text("shortName", short).alias("shortName"),
-                        F.when(s["status"].isin(*K.STAGE_STATUSES), s["status"]).otherwise("SKIPPED").alias("status"),
-                        text("details", "No result is available for this check.").alias("details"))
-
-    return df.select(*[c for c in df.columns if c != raw],
-                     F.coalesce(F.nullif(r["overallStatus"], F.lit("")), F.lit("FAILED")).alias("overallStatus"),
-                     F.coalesce(F.nullif(r["schema_version"], F.lit(0)), F.lit(1)).alias("schemaVersion"),
-                     F.coalesce(iso, F.nullif(r["timestamp"], F.lit(""))).alias("timestamp"),
-                     F.array(*[stage(n) for n in STAGES]).alias("stages"))
+                        F.when(status.isin(*K.STAGE_STATUSES), status).otherwise("SKIPPED").alias("status"),
+                        text("details", "No result is available for this check.").alias("details"),
+                        F.try_variant_get(s, "$.metricLabel", "variant").alias("metricLabel"), F.try_variant_get(s, "$.metricValue", "variant").alias("metricValue"))
+
+    return F.struct(F.coalesce(truthy(v, "$.overallStatus"), F.lit("FAILED")).alias("overallStatus"),
+                    F.coalesce(number("$.schema_version"), number("$.schemaVersion"), F.lit(1)).alias("schemaVersion"),
+                    F.coalesce(iso(F.timestamp_millis(F.floor(epoch * 1000))), truthy(v, "$.timestamp"), iso(now)).alias("timestamp"),
+                    F.array(*[stage(n) for n in STAGES]).alias("stages"))
+
+
+def normalize_audit(df: DataFrame, raw: str = "report", now: Column | None = None) -> DataFrame:
+    """Default every missing part of a stored audit report: VARIANT, or a struct of the same fields."""
+    kind = df.schema[raw].dataType.typeName()
+    v = F.col(raw) if kind == "variant" else F.to_variant_object(raw)
+    audit = df.select(*[c for c in df.columns if c != raw], audit_struct(v, F.current_timestamp() if now is None else now).alias("_audit"))
+    return audit.select(*[c for c in df.columns if c != raw], "_audit.*")
+
+
+def audit_variant(audit: Column) -> Column:
+    """The normalised report as VARIANT, its stages under their keys; absent metrics stay absent."""
+    fields = ("stage", "name", "shortName", "status", "details", "metricLabel", "metricValue")
+    as_variant = lambda s: F.to_variant_object(F.map_filter(F.map_from_arrays(
+        F.array(*[F.lit(f) for f in fields]),
+        F.array(*[s[f] if f.startswith("metric") else s[f].cast("variant") for f in fields])), lambda k, x: x.isNotNull()))
+    head = [x for c in ("overallStatus", "schemaVersion", "timestamp") for x in (F.lit(c), audit[c].cast("variant"))]
+    stages = [x for n in STAGES for x in (F.lit(K.STAGE_KEYS[n - 1]), as_variant(audit["stages"][n - 1]))]
+    return F.to_variant_object(F.create_map(*head, *stages))

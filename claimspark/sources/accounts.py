@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.audit import audit_struct, audit_variant
 from ..operators.queue import owner_of
 
-STAGE_SCHEMA = "stage INT, name STRING, shortName STRING, status STRING, details STRING"
-ANALYSIS_SCHEMA = (
-    "summary STRING, estimatedCost BIGINT, fraudScore BIGINT, isNoDamage BOOLEAN, isRejected BOOLEAN, outcome STRING, "
-    "detections ARRAY<STRUCT<label: STRING, confidence: DOUBLE, bbox: ARRAY<DOUBLE>, severity: STRING>>, "
-    "detection_frames ARRAY<STRUCT<label: STRING, image: STRING>>, "
-    "damageAreas ARRAY<STRUCT<id: STRING, type: STRING, cost: BIGINT>>, modelReasoning ARRAY<STRING>, "
-    f"fiveStageSecurity STRUCT<overallStatus: STRING, schema_version: INT, timestamp: STRING, stages: ARRAY<STRUCT<{STAGE_SCHEMA.replace(' ', ': ').replace(',: ', ', ')}>>>")
-LISTS = ("detections", "detection_frames", "damageAreas", "modelReasoning")
+LISTS = ("detections", "detection_frames", "damageAreas")
 
 
 def account_rows(df: DataFrame, value_schema: str, defaults: dict[str, Column], owner: str | None = None) -> DataFrame:
@@ -32,12 +26,20 @@ def account_rows(df: DataFrame, value_schema: str, defaults: dict[str, Column],
     return rows.withColumn("value", full).drop("value_json")
 
 
-def parse_stored_analysis(df: DataFrame, raw: str) -> DataFrame:
-    """Adds ``analysis``: NULL for unreadable JSON or non-objects, lists never NULL."""
-    text = F.col(raw)
-    readable = F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{")
-    out = df.withColumn("_a", F.from_json(text, ANALYSIS_SCHEMA, {"mode": "PERMISSIVE"}))
-    fields = out.schema["_a"].dataType
-    parts = [(F.coalesce(F.col("_a")[f.name], F.array().cast(f.dataType)) if f.name in LISTS else F.col("_a")[f.name]).alias(f.name)
-             for f in fields]
-    return out.withColumn("analysis", F.when(readable, F.struct(*parts))).drop("_a")
+def parse_stored_analysis(df: DataFrame, raw: str, now: Column | None = None) -> DataFrame:
+    """Adds ``analysis`` (VARIANT): NULL for unreadable JSON and values that are no object, else the whole record.
+
+    Unknown fields stay as they are, at any depth. Lists are never missing, reasons are texts, and the security report is
+    normalised (:func:`audit.audit_struct`). ``to_json`` writes the record back.
+    """
+    whole = F.try_parse_json(F.col(raw))
+    parsed = df.withColumn("_v", F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole))
+    v = F.col("_v")
+    of = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    empty = F.array().cast("array<variant>")
+    lists = [x for name in LISTS for x in (F.lit(name), F.to_variant_object(F.coalesce(of(name, "array<variant>"), empty)))]
+    reasons = F.transform(F.coalesce(of("modelReasoning", "array<variant>"), empty), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("null")))
+    report = audit_variant(audit_struct(of("fiveStageSecurity", "variant"), F.current_timestamp() if now is None else now))
+    known = F.create_map(*lists, F.lit("modelReasoning"), F.to_variant_object(reasons), F.lit("fiveStageSecurity"), report)
+    others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*LISTS, "modelReasoning", "fiveStageSecurity"))
+    return parsed.withColumn("analysis", F.when(v.isNotNull(), F.to_variant_object(F.map_concat(others, known)))).drop("_v")

@@ -300,15 +300,28 @@ def read_account_table(t):
     return rows.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value.k").alias("k_sum"))
 
 
-@query("""select event_id, event_id % 4 <> 0 as parsed, case when event_id % 4 = 0 then null when event_id % 4 = 1 then 2 else 0 end as detections
+@query("""select event_id, event_id % 4 <> 0 as parsed, case when event_id % 4 = 0 then null when event_id % 4 = 1 then 2 else 0 end as detections,
+  case when event_id % 4 = 1 then event_type end as extra, case when event_id % 4 = 1 then event_id end as odd,
+  case event_id % 4 when 0 then null when 1 then 'PASSED' else 'SKIPPED' end as duplicate_check,
+  case when event_id % 4 = 1 then event_id % 7 end as metric,
+  case event_id % 4 when 0 then null when 1 then strftime(to_timestamp(1700000000 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.000Z')
+    else '2024-06-01T00:00:00.000Z' end as audit_time
 from {events}""")
 def parse_stored_analysis(t):
+    """Fields that the library does not know come back from the record as it is written again."""
     e = F.col("event_id")
-    raw = (F.when(e % 4 == 0, "{not json").when(e % 4 == 1, '{"summary":"s","detections":[{"label":"dent","confidence":0.5},{"label":"crack"}]}')
+    whole = F.format_string('{"summary":"s","extra":{"type":"%s"},"detections":[{"label":"dent","confidence":0.5,"odd":%d},{"label":"crack"}],'
+                            '"fiveStageSecurity":{"timestamp":%d,"stage2_phash":{"status":"PASSED","metricValue":%d}}}', "event_type", e, e + 1700000000, e % 7)
+    raw = (F.when(e % 4 == 0, "{not json").when(e % 4 == 1, whole)
            .when(e % 4 == 2, '{"detections":"oops"}').otherwise('{"summary":null}'))
-    out = S.parse_stored_analysis(t.events.select("event_id", raw.alias("raw")), "raw")
+    out = S.parse_stored_analysis(t.events.select("event_id", raw.alias("raw")), "raw", F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    v = F.try_parse_json(F.to_json("analysis"))
     return out.select("event_id", F.col("analysis").isNotNull().alias("parsed"),
-                      F.when(F.col("analysis").isNotNull(), F.size("analysis.detections")).alias("detections"))
+                      F.when(F.col("analysis").isNotNull(), F.size(F.variant_get(v, "$.detections", "array<variant>"))).alias("detections"),
+                      F.variant_get(v, "$.extra.type", "string").alias("extra"), F.try_variant_get(v, "$.detections[0].odd", "bigint").alias("odd"),
+                      F.variant_get(v, "$.fiveStageSecurity.stage2_phash.status", "string").alias("duplicate_check"),
+                      F.variant_get(v, "$.fiveStageSecurity.stage2_phash.metricValue", "bigint").alias("metric"),
+                      F.variant_get(v, "$.fiveStageSecurity.timestamp", "string").alias("audit_time"))
 
 
 # ---- dashboards -------------------------------------------------------------------

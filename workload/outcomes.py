@@ -201,16 +201,21 @@ def build_failure(t):
 
 @query(f"""select o_orderkey as claim_id, case when o_orderkey % 5 = 0 then 'FAILED' else 'FLAGGED' end as "overallStatus",
   case when o_orderkey % 3 = 0 then 1 else 2 end as "schemaVersion",
-  case when o_orderkey % 2 = 0 then strftime(to_timestamp(1700000000 + o_orderkey) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') else '2024-01-01T00:00:00Z' end as timestamp,
+  case o_orderkey % 4 when 0 then strftime(to_timestamp(1700000000 + o_orderkey) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.000Z')
+    when 1 then '2024-01-01T00:00:00Z' when 2 then (1700000000 + o_orderkey)::varchar else '2024-06-01T00:00:00.000Z' end as timestamp,
   case when o_orderkey % 7 = 0 then 'WARNING' else 'SKIPPED' end as first_status,
-  'Layer 2: Duplicate and motion fingerprint' as second_name from {{orders}}""")
+  'Layer 2: Duplicate and motion fingerprint' as second_name, case when o_orderkey % 2 = 0 then 'p' || o_orderkey end as label, o_orderkey % 11 as value from {{orders}}""")
 def normalize_audit(t):
+    """Numbers are epochs, numbers in quotes are not; stages under their keys, or in an array as older records have them."""
     k = F.col("o_orderkey")
-    stage = F.struct(F.lit(1).alias("stage"), F.lit("x").alias("name"), F.lit(None).cast("string").alias("shortName"),
-                     F.when(k % 7 == 0, "WARNING").otherwise("bogus").alias("status"), F.lit("").alias("details"))
-    report = F.struct(F.when(k % 5 != 0, "FLAGGED").alias("overallStatus"), F.when(k % 3 != 0, 2).alias("schema_version"),
-                      F.when(k % 2 == 0, (k + 1700000000).cast("string")).otherwise("2024-01-01T00:00:00Z").alias("timestamp"),
-                      F.array(stage).alias("stages"))
-    out = A.normalize_audit(t.orders.select(k.alias("claim_id"), report.alias("report")))
-    return out.select("claim_id", "overallStatus", "schemaVersion", "timestamp",
-                      F.col("stages")[0]["status"].alias("first_status"), F.col("stages")[1]["name"].alias("second_name"))
+    status = F.when(k % 7 == 0, "WARNING").otherwise("bogus")
+    first = F.format_string('{"stage":1,"name":"x","status":"%s","details":"","metricValue":%d%s}', status, k % 11,
+                            F.when(k % 2 == 0, F.format_string(',"metricLabel":"p%d"', k)).otherwise(""))
+    time = F.when(k % 4 == 0, F.format_string(',"timestamp":%d', k + 1700000000)).when(k % 4 == 1, ',"timestamp":"2024-01-01T00:00:00Z"').when(
+        k % 4 == 2, F.format_string(',"timestamp":"%d"', k + 1700000000)).otherwise("")
+    report = F.concat(F.when(k % 2 == 0, F.format_string('{"stage1_exif":%s', first)).otherwise(F.format_string('{"stages":[%s]', first)), time,
+                      F.when(k % 5 != 0, ',"overallStatus":"FLAGGED"').otherwise(""), F.when(k % 3 == 1, ',"schema_version":2').when(k % 3 == 2, ',"schemaVersion":2').otherwise(""), F.lit("}"))
+    out = A.normalize_audit(t.orders.select(k.alias("claim_id"), F.parse_json(report).alias("report")), now=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    one = F.col("stages")[0]
+    return out.select("claim_id", "overallStatus", "schemaVersion", "timestamp", one["status"].alias("first_status"), F.col("stages")[1]["name"].alias("second_name"),
+                      F.variant_get(one["metricLabel"], "$", "string").alias("label"), F.variant_get(one["metricValue"], "$", "bigint").alias("value"))
