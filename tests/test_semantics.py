@@ -200,10 +200,10 @@ def test_long_hmac_keys(spark):
 
 
 def test_ledger_keeps_state_and_ignores_foreign_owner(spark):
-    ev = spark.createDataFrame([("r", "claim-test", "owner-test", "UPLOADING", 1, 1), ("r", "claim-test", "intruder", "APPROVED_AUTHENTIC", 5, 2)],
+    ev = spark.createDataFrame([("r", "c-17", "ann", "FORENSICS_COMPLETE", 1, 1), ("r", "c-17", "bob", "APPROVED_AUTHENTIC", 5, 2)],
                                "request_id STRING, claim_id STRING, owner_id STRING, state STRING, updated_at INT, event_id INT")
     row = L.latest_transactions(ev).head()
-    assert (row.state, row.owner_id, row.collisions) == ("UPLOADING", "owner-test", 1)
+    assert (row.state, row.owner_id, row.collisions) == ("FORENSICS_COMPLETE", "ann", 1)
 
 
 def test_rows_outside_the_state_domain_are_set_apart(spark):

@@ -84,26 +84,30 @@ def append_result(t):
 PAYLOAD = """'{"claim_id":' || (doc_id % 500) || ',"digest":"' || sha256(text) || '","note":null}'"""
 
 
-@query(f"""with sub as (select doc_id % 500 as claim_id, doc_id, {PAYLOAD.replace('sha256(text)', "sha256(case when doc_id % 3 = 0 then text else lang end)")} as payload_json from {{documents}}),
+@query("""with sub as (select length(text) % 500 as claim_id, doc_id,
+    '{"claim_id":' || (length(text) % 500) || ',"digest":"' || sha256(text) || '","note":' || case when doc_id % 10 = 9 then '"revised"' else 'null' end || '}' as payload_json from {documents}),
 first as (select claim_id, arg_min(payload_json, doc_id) as p, min(doc_id) as d from sub group by 1)
 select s.claim_id, doc_id, case when doc_id = d then 'new' when payload_json = p then 'same' else 'conflict' end as verdict,
   case when payload_json = p then sha256(payload_json) end as receipt,
   case when payload_json = p then 'SHA-256-UNSIGNED-DEVELOPMENT' end as algorithm
 from sub s join first using (claim_id)""")
 def finalise_receipts(t):
-    evidence = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.col("lang"))
-    rows = _payloads(t, evidence)
+    """Texts of one length are submissions of one claim: copies come again, others and revised ones conflict."""
+    note = F.when(F.col("doc_id") % 10 == 9, "revised")
+    claim = F.char_length("text") % 500
+    rows = t.documents.select(claim.alias("claim_id"), "doc_id", crypto.canonical_json(
+        note=note, digest=crypto.digest(F.col("text")), claim_id=claim).alias("payload_json"))
     # every other submission writes its keys in another order and with blanks
-    turned = F.concat(F.lit('{"note": null, "claim_id": '), F.col("claim_id").cast("string"), F.lit(', '),
+    turned = F.concat(F.lit('{"note": '), F.when(note.isNull(), "null").otherwise('"revised"'), F.lit(', "claim_id": '), F.col("claim_id").cast("string"), F.lit(", "),
                       F.regexp_extract("payload_json", r'("digest":"[0-9a-f]+")', 1), F.lit("}"))
-    rows = rows.withColumn("payload_json", F.when(F.floor(F.col("doc_id") / 500) % 2 == 1, turned).otherwise(F.col("payload_json")))
+    rows = rows.withColumn("payload_json", F.when(F.col("doc_id") % 2 == 1, turned).otherwise(F.col("payload_json")))
     done = L.finalise_receipts(None, rows, "doc_id", schema="claim_id bigint, digest string, note string")
     return done.select("claim_id", "doc_id", "verdict", "receipt", "algorithm")
 
 
-def _payloads(t, evidence=None):
+def _payloads(t):
     claim = F.col("doc_id") % 500
-    payload = crypto.canonical_json(note=F.lit(None).cast("string"), digest=crypto.digest(F.col("text") if evidence is None else evidence), claim_id=claim)
+    payload = crypto.canonical_json(note=F.lit(None).cast("string"), digest=crypto.digest(F.col("text")), claim_id=claim)
     return t.documents.select(claim.alias("claim_id"), "doc_id", payload.alias("payload_json"))
 
 
@@ -111,11 +115,11 @@ def _pad_hex(secret: bytes, byte: int) -> str:
     return "".join(f"{b ^ byte:02X}" for b in secret.ljust(64, b"\0"))
 
 
-@query(f"""select doc_id, sha256(unhex('{_pad_hex(b"test-secret", 0x5C)}') ||
-  unhex(sha256(unhex('{_pad_hex(b"test-secret", 0x36)}') || encode({PAYLOAD})))) as receipt,
+@query(f"""select doc_id, sha256(unhex('{_pad_hex(b"ledger key 7", 0x5C)}') ||
+  unhex(sha256(unhex('{_pad_hex(b"ledger key 7", 0x36)}') || encode({PAYLOAD})))) as receipt,
   'HMAC-SHA256' as algorithm, 'k1' as key_id from {{documents}}""")
 def signed_receipts(t):
-    return _payloads(t).withColumn("r", crypto.receipt(F.col("payload_json"), b"test-secret", "k1")).select("doc_id", "r.*")
+    return _payloads(t).withColumn("r", crypto.receipt(F.col("payload_json"), b"ledger key 7", "k1")).select("doc_id", "r.*")
 
 
 @query(f"select doc_id % 500 as claim_id, {PAYLOAD} as payload_json from {{documents}}")
@@ -221,20 +225,24 @@ def gps_dms(t):
     return t.events.select("event_id", F.round(T.gps_dms_to_decimal(dms, ref), 9).alias("degrees"))
 
 
-@query("""select doc_id, case doc_id % 6 when 0 then case when doc_id % 4 = 0 then 'transfer_without_tags' else 'tags_absent' end
-    when 1 then case when doc_id % 4 = 0 then 'transfer_software' else 'software_tag' end when 2 then 'transfer_software'
-    when 3 then 'editing_keyword' else case when doc_id % 4 = 0 then 'transfer_clean' else 'capture_verified' end end as finding,
-  case doc_id % 6 when 0 then null when 1 then 'Tool 1' when 2 then 'WhatsApp 2' when 3 then 'picsart'
-    when 4 then case when doc_id % 4 <> 0 then '2024:01:02' end else case when doc_id % 4 <> 0 then 'Recorded' end end as evidence,
-  not (doc_id % 6 = 3 or (doc_id % 6 = 1 and doc_id % 4 <> 0)) as passed
-from {documents}""")
+@query(f"""with tag as (select doc_id, doc_id % 4 = 0 as moved, doc_id % 6 = 0 as no_tags,
+    nullif(trim(case doc_id % 6 when 1 then substr(text, 1, 12) when 2 then 'WhatsApp ' || substr(text, 1, 5) end), '') as sw,
+    case when doc_id % 6 >= 3 then lower(text) else '' end as body, case when doc_id % 6 = 4 then trim(nullif(substr(text, 1, 19), '')) end as taken from {{documents}}),
+k as (select *, {first_sql('body', K.TAG_VALUE_KEYWORDS)} as kw from tag)
+select doc_id, case when no_tags and moved then 'transfer_without_tags' when no_tags then 'tags_absent' when sw is not null and (moved or contains(lower(sw), 'whatsapp')) then 'transfer_software'
+    when sw is not null then 'software_tag' when kw is not null then 'editing_keyword' when moved then 'transfer_clean' else 'capture_verified' end as finding,
+  case when no_tags then null when sw is not null then sw when kw is not null then kw when not moved then coalesce(taken, 'Recorded') end as evidence,
+  no_tags or (sw is null and kw is null) or (sw is not null and (moved or contains(lower(sw), 'whatsapp'))) as passed
+from k""")
 def exif_tag_rules(t):
-    k = F.col("doc_id")
+    """Tag values are the documents' texts, whole for artist and model."""
+    k, text = F.col("doc_id"), F.col("text")
     kind = k % 6
-    one = lambda key, val: F.create_map(F.lit(key), F.lit(val))
-    tags = (F.when(kind == 1, one("EXIF Software", " Tool 1 ")).when(kind == 2, one("Image Software", "WhatsApp 2"))
-            .when(kind == 3, one("Image Artist", "made by PicsArt insta")).when(kind == 4, one("Image DateTime", "2024:01:02"))
-            .when(kind == 5, one("Image Model", "cam instagram")))
+    tags = (F.when(kind == 1, F.create_map(F.lit("EXIF Software"), F.substring(text, 1, 12)))
+            .when(kind == 2, F.create_map(F.lit("Image Software"), F.concat(F.lit("WhatsApp "), F.substring(text, 1, 5))))
+            .when(kind == 3, F.create_map(F.lit("Image Artist"), text))
+            .when(kind == 4, F.create_map(F.lit("Image DateTime"), F.substring(text, 1, 19), F.lit("Image Model"), text))
+            .when(kind == 5, F.create_map(F.lit("Image Model"), text)))
     rows = t.documents.select("doc_id", tags.alias("tags"), (k % 4 == 0).alias("transferred"))
     return M.tag_rules(rows).select("doc_id", "finding", "evidence", "passed")
 
