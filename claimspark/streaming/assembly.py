@@ -6,7 +6,7 @@ import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -17,6 +17,16 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def with_rocks_db(spark: SparkSession, start):
+    """Start a query whose operators keep several states; it keeps the provider from its start."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS_DB)
+    try:
+        return start()
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 class Assembler(StatefulProcessor):
     """Frames of one claim: a map by frame index, so a frame that is sent twice counts once (the first stays)."""
 
