@@ -1,10 +1,11 @@
-"""Guarded queue transitions and the bucketed table of accepted submissions."""
+"""Guarded queue transitions, the bucketed table of accepted submissions, compaction of a ledger that goes on."""
 
 import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
+from claimspark.operators import ledger as L
 from claimspark.session import new_dir
 from claimspark.streaming import jobs as J
 from claimspark.streaming.transitions import ALLOWED
@@ -66,3 +67,25 @@ def test_a_batch_reads_its_buckets_only(spark):
     files = [r.f for r in read.select(F.input_file_name().alias("f")).distinct().collect()]
     assert files and all(f"bucket={one.first().bucket}/" in f for f in files)
     assert "PartitionFilters: [isnotnull(bucket" in read._jdf.queryExecution().toString()
+
+
+def test_a_ledger_compacted_between_two_runs_loses_no_row(spark, tmp_path):
+    rng = random.Random(6)
+    schema = "request_id string, claim_id string, owner_id string, state string, updated_at long, event_id long"
+    files = [[(f"r{rng.randint(0, 9)}", f"c{rng.randint(0, 1)}", "ann", rng.choice(["UPLOADING", "APPROVED_AUTHENTIC"]), rng.randint(0, 50), 100 * f + k)
+              for k in range(30)] for f in range(5)]
+    folder, path = str(tmp_path / "events"), None
+    for f, rows in enumerate(files):
+        events = in_files(spark, folder, [rows], schema)
+        path = J.ledger_log(events, path)
+        before = sorted(map(tuple, J.read_ledger(spark, path).collect()))
+        if f in (0, 2, 3):
+            assert J.compact_ledger(spark, path) == path
+        after = sorted(map(tuple, J.read_ledger(spark, path).collect()))
+        every = spark.createDataFrame([r for rs in files[: f + 1] for r in rs], schema)
+        assert before == after == sorted(map(tuple, L.latest_transactions(every).select(J.read_ledger(spark, path).columns).collect()))
+    assert J.ledger_version(spark, path)[0] == 3 and J.ledger_version(spark, path)[2] == 3
+    # a batch that is still being written, and a snapshot without a manifest, are not seen
+    spark.createDataFrame(files[0], schema).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/log/batch=77")
+    J.ledger_rows(spark, path)[0].write.parquet(f"{path}/snapshots/9")
+    assert sorted(map(tuple, J.read_ledger(spark, path).collect())) == after
