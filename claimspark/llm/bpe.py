@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused_prefix
+
 #: Distinct pieces kept per task before the cache is emptied; it bounds memory only.
 CACHE_PIECES = 80_000
 #: Longer pieces are encoded each time they occur.
@@ -134,7 +136,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", offsets: bool
     """Adds ``ids`` (array of int); with ``offsets`` also ``<ids>_start`` and ``<ids>_end`` in characters."""
     new = [ids, f"{ids}_start", f"{ids}_end"] if offsets else [ids]
     path = path or vocabulary_path()
-    raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("_text_bytes")
+    raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias(f"{unused_prefix(docs)}bytes")
     kept = [c for c in docs.columns if c not in new]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema] + [f"`{c}` array<int>" for c in new])
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from claimspark.session import materialize
 
@@ -220,6 +221,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), key:
     """(key, item_id, score, question_overlap, answer_overlap): the verified test items of each document."""
     spark = docs.sparkSession
     kind, item_kind = dict(docs.dtypes)[key], dict(benchmark.dtypes)["item_id"]
+    ids = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"key {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
     source = docs.select(F.col(key).alias("key"), text_bytes(text).alias("t"))
     out = None
@@ -232,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), key:
                 texts = [x.as_py() for x in b.column(1)]
                 found = [(lo + m[0], *m[1:]) for lo, hi in _batches(texts) for m in matches(texts[lo:hi], ix, s)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array([m[0] for m in found], pa.int64())), pa.array([ix["ids"][m[1]] for m in found]).cast(item_type(item_kind)),
+                    [b.column(0).take(pa.array([m[0] for m in found], pa.int64())), pa.array([ix["ids"][m[1]] for m in found], ids),
                      *[pa.array([m[k] for m in found], pa.float64()) for k in (2, 3, 4)]], names=["key", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = source.mapInArrow(run, schema)
@@ -240,10 +242,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), key:
     return (out if out is not None else spark.createDataFrame([], schema)).withColumnRenamed("key", key)
 
 
-def item_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no verified test item, with all their columns."""
     at, names, schema = docs.columns.index(text), docs.columns, docs.schema
