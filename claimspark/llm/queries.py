@@ -59,8 +59,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    known = materialize(html_text.templates(html_text.subtrees(pages)))
-    return html_text.main_text(pages, known).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    found = materialize(html_text.subtrees(pages))
+    known = materialize(html_text.templates(found))
+    return html_text.main_text(pages, known, found=found).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query()
