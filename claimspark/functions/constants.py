@@ -122,6 +122,10 @@ STAGE_DEFAULT_CODES = {
     3: "VISUAL_TAMPERING_REJECTED", 4: "CLAIMANT_FACE_REQUIRED",
     5: "REVERSE_SEARCH_STOLEN_WEB_MEDIA",
 }
+# Codes of the single checks.
+FRAMES_CODE, STATIC_CODE, SCREEN_CODE, BLOCKS_CODE = (
+    "FRAME_EXTRACTION_FAILED", "STATIC_VIDEO_REJECTED", "SCREEN_RECORDING_REJECTED", "LOCALIZED_TAMPERING_REJECTED",
+)
 
 # ---- container metadata keywords (first listed hit wins) ----
 EDITING_KEYWORDS = (

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.crypto import canonical_json
-from ..operators import audit, detections, ledger, outcome, pricing, risk
+from ..operators import audit, detections, ledger, matching, metadata, outcome, pricing, risk, signals
 from ..session import materialize
 
 CHECK_COLUMNS = ["claim_id", "stage", "check_no", "raw_status", "error_code"]
@@ -37,6 +39,65 @@ def verify_claims(claims: DataFrame, stages: list[Stage]) -> DataFrame:
     return audit.audit_rollup(reduce(DataFrame.unionByName, done))
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What is known of claims; every table has ``claim_id``.
+
+    ``containers``: ``body``. ``pixels``: ``frame_index, y, x, v``. ``hashes`` and ``history``: frames as
+    :func:`matching.rule_matches` reads them. ``spectra``, ``tracks``, ``blocks``, ``faces``: as read by
+    :func:`signals.spectral_peak_ratio`, :func:`signals.planar_ratio`, :func:`signals.copy_move` and
+    :func:`signals.liveness_verdict`. ``metrics``: per frame what :func:`signals.tamper_verdict` reads, but ``transferred``.
+    """
+
+    containers: DataFrame
+    pixels: DataFrame
+    hashes: DataFrame
+    history: DataFrame
+    spectra: DataFrame
+    tracks: DataFrame
+    blocks: DataFrame
+    metrics: DataFrame
+    faces: DataFrame
+
+
+def forensic_checks(e: Evidence, static_threshold: float = K.STATIC_FEED_THRESHOLD) -> list[Stage]:
+    """The checks of a verification run in order, for :func:`verify_claims`.
+
+    Readable frames and container text; motion and duplicates; screen replay, copied or spliced blocks and
+    tampered frames; faces. Each reads the evidence of the claims that reach it. A claim fails the first check
+    without any pixels, the second without container text; evidence missing elsewhere fails nothing.
+    """
+    def stage(number: int, check_no: int, code: str, failed: Callable[[DataFrame], DataFrame]) -> Stage:
+        def run(alive: DataFrame) -> DataFrame:
+            of = lambda df: df.join(alive, "claim_id", "left_semi")
+            bad = failed(of).select("claim_id").distinct().withColumn("_bad", F.lit(True))
+            return check(alive.join(bad, "claim_id", "left"), number, check_no, F.col("_bad").isNull(), code)
+
+        return run
+
+    def without(evidence: DataFrame) -> Callable:
+        return lambda of: of(e.containers).join(evidence.select("claim_id"), "claim_id", "left_anti")
+
+    def tampered(of):
+        moved = metadata.container_scan(of(e.containers)).select("claim_id", "transferred")
+        return signals.tamper_verdict(of(e.metrics).join(moved, "claim_id")).where(~F.col("passed"))
+
+    matched = lambda of: matching.rule_matches(materialize(of(e.hashes)), e.history)
+    replayed = lambda of: signals.screen_replay(signals.spectral_peak_ratio(of(e.spectra)), signals.planar_ratio(of(e.tracks))).where("detected")
+    altered = lambda of: (signals.copy_move(of(e.blocks)).select("claim_id")
+                          .unionByName(signals.temporal_splice(of(e.blocks)).select("claim_id")))
+    return [
+        stage(1, 0, K.FRAMES_CODE, without(e.pixels)),
+        stage(1, 1, K.STAGE_DEFAULT_CODES[1], lambda of: metadata.container_scan(of(e.containers)).where(~F.coalesce("passed", F.lit(False)))),
+        stage(2, 0, K.STATIC_CODE, lambda of: signals.static_feed(of(e.pixels), static_threshold).where(~F.col("passed"))),
+        stage(2, 1, K.STAGE_DEFAULT_CODES[2], matched),
+        stage(3, 0, K.SCREEN_CODE, replayed),
+        stage(3, 1, K.BLOCKS_CODE, altered),
+        stage(3, 2, K.STAGE_DEFAULT_CODES[3], tampered),
+        stage(4, 0, K.STAGE_DEFAULT_CODES[4], lambda of: signals.liveness_verdict(of(e.faces)).where(~F.col("passed"))),
+    ]
+
+
 def analyse_detections(det: DataFrame, context: DataFrame, severities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(retained detections with severity, detections lacking a severity result)."""
     kept = detections.dedupe_detections(detections.filter_detections(det, context))

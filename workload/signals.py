@@ -75,10 +75,10 @@ SPECTRUM = """(select claim_id, 0 as frame_index, (frame_index * 64 + y * 8 + x)
   case when frame_index = 4 and y = 7 and x = claim_id % 8 then abs(v) * 90 else abs(v) end as magnitude, 16 as height, 20 as width from {pixels})"""
 
 
-def _spectrum(t):
+def _spectrum(pixels):
     i = F.col("frame_index") * 64 + F.col("y") * 8 + F.col("x")
     spike = (F.col("frame_index") == 4) & (F.col("y") == 7) & (F.col("x") == F.col("claim_id") % 8)
-    return t.pixels.select("claim_id", F.lit(0).alias("frame_index"), F.floor(i / 20).cast("int").alias("y"), (i % 20).alias("x"),
+    return pixels.select("claim_id", F.lit(0).alias("frame_index"), F.floor(i / 20).cast("int").alias("y"), (i % 20).alias("x"),
                            F.when(spike, F.abs("v") * 90).otherwise(F.abs("v")).alias("magnitude"), F.lit(16).alias("height"), F.lit(20).alias("width"))
 
 
@@ -90,14 +90,18 @@ pr as (select claim_id, pair, count(*) as points, count(*) filter (where tracked
 pl as (select claim_id, coalesce(avg(case when points >= 10 and good >= 10 then inl / good::double end), 0.0) as planar from pr group by 1)"""
 
 
+def _tracks(t):
+    return t.events.select(F.col("user_id").alias("claim_id"), (F.col("event_id") % 5).alias("pair"),
+                           (F.col("event_type") != "view").alias("tracked"), (F.col("value") > 20).alias("inlier"))
+
+
 def _planar(t):
-    return S.planar_ratio(t.events.select(F.col("user_id").alias("claim_id"), (F.col("event_id") % 5).alias("pair"),
-                                          (F.col("event_type") != "view").alias("tracked"), (F.col("value") > 20).alias("inlier")))
+    return S.planar_ratio(_tracks(t))
 
 
 @query(f"with {PEAK_CTE} select claim_id, frame_index, round(peak_ratio, 6) as peak_ratio, round(moire, 6) as moire, case when moire >= 0.65 then 'WARNING' else 'PASSED' end as status from mo")
 def spectral_peak_ratio(t):
-    out = S.spectral_peak_ratio(_spectrum(t))
+    out = S.spectral_peak_ratio(_spectrum(t.pixels))
     return out.withColumn("peak_ratio", F.round("peak_ratio", 6)).withColumn("moire", F.round("moire", 6))
 
 
@@ -109,7 +113,7 @@ def planar_ratio(t):
 @query(f"""with {PEAK_CTE}, j as (select claim_id, avg(moire) as moire, coalesce(any_value(planar), 0.0) as planar from mo left join pl using (claim_id) group by 1)
 select claim_id, round(0.5 * moire + 0.5 * planar, 6) as screen_score, 0.5 * moire + 0.5 * planar >= 0.5 or moire >= 0.8 or planar >= 0.85 as detected from j""")
 def screen_replay_score(t):
-    out = S.screen_replay(S.spectral_peak_ratio(_spectrum(t)), _planar(t))
+    out = S.screen_replay(S.spectral_peak_ratio(_spectrum(t.pixels)), _planar(t))
     return out.select("claim_id", F.round("screen_score", 6).alias("screen_score"), "detected")
 
 
@@ -123,44 +127,51 @@ re as (select claim_id, frame_index, avg(least(255, floor(abs(v - v90) * 255 / m
   from (select *, greatest(1, max(abs(v - v90)) over (partition by claim_id, frame_index)) as m from px) group by 1, 2)"""
 
 
-def _noise(t):
+def _noise(pixels):
     side = F.lit(8)
-    res = t.pixels.select("claim_id", "frame_index", "y", "x", F.abs(F.col("v") - 128).alias("v"), side.alias("height"), side.alias("width"))
+    res = pixels.select("claim_id", "frame_index", "y", "x", F.abs(F.col("v") - 128).alias("v"), side.alias("height"), side.alias("width"))
     return S.noise_blocks(res, block=4, grid=4)
 
 
-def _recompressed(t):
+def _recompressed(pixels):
     base = F.floor("v").cast("int")
     shift = lambda a, m: (base + a % m - m // 2)
-    return S.recompression_error(t.pixels.select("claim_id", "frame_index", base.alias("v"), shift(F.col("y") * 3 + F.col("x"), 7).alias("v90"),
+    return S.recompression_error(pixels.select("claim_id", "frame_index", base.alias("v"), shift(F.col("y") * 3 + F.col("x"), 7).alias("v90"),
                                                  shift(F.col("y") + F.col("x") * 5, 11).alias("v75")))
 
 
 @query(f"""with {NOISE_CTE} select claim_id, frame_index, round(inconsistency, 6) as inconsistency, round(peak_noise, 6) as peak_noise,
   round(max_patch_var, 5) as max_patch_var, round(noise_ratio, 4) as noise_ratio from nb join np using (claim_id, frame_index)""")
 def block_noise_stats(t):
-    return _noise(t).select("claim_id", "frame_index", F.round("inconsistency", 6).alias("inconsistency"), F.round("peak_noise", 6).alias("peak_noise"),
+    return _noise(t.pixels).select("claim_id", "frame_index", F.round("inconsistency", 6).alias("inconsistency"), F.round("peak_noise", 6).alias("peak_noise"),
                             F.round("max_patch_var", 5).alias("max_patch_var"), F.round("noise_ratio", 4).alias("noise_ratio"))
 
 
 @query(f"with {NOISE_CTE} select claim_id, frame_index, round(mean_error, 6) as mean_error, round(quality_spread, 6) as quality_spread from re")
 def recompression_error(t):
-    return _recompressed(t).select("claim_id", "frame_index", F.round("mean_error", 6).alias("mean_error"), F.round("quality_spread", 6).alias("quality_spread"))
+    return _recompressed(t.pixels).select("claim_id", "frame_index", F.round("mean_error", 6).alias("mean_error"), F.round("quality_spread", 6).alias("quality_spread"))
 
 
-@query(f"""with {NOISE_CTE}, m as (select claim_id, frame_index, claim_id % 3 = 0 as moved, claim_id % 17 = 0 as color, noise_ratio, max_patch_var / 50 as mpv, peak_noise * (0.7 + claim_id % 4 * 0.3) as peak,
+TAMPER_CTE = f"""{NOISE_CTE}, tm as (select claim_id, frame_index, {{moved}} as moved, claim_id % 17 = 0 as color, noise_ratio, max_patch_var / 50 as mpv, peak_noise * (0.7 + claim_id % 4 * 0.3) as peak,
     inconsistency * (claim_id % 5) as inc, mean_error / (1 + claim_id % 4) as err, quality_spread from nb join np using (claim_id, frame_index) join re using (claim_id, frame_index)),
-i as (select *, greatest(0.0, least(100.0, 100 - (inc * 2.2 + err * 0.4 + quality_spread * 1.2))) as integrity from m),
-r as (select *, case when color then 'color_filter' when noise_ratio > case when moved then 75 else 45 end and mpv > 18 then 'noise_ratio'
+ti as (select *, greatest(0.0, least(100.0, 100 - (inc * 2.2 + err * 0.4 + quality_spread * 1.2))) as integrity from tm),
+tv as (select *, case when color then 'color_filter' when noise_ratio > case when moved then 75 else 45 end and mpv > 18 then 'noise_ratio'
   when not moved and (peak > 55 or (peak > 38 and integrity < 60)) then 'peak_noise' when not moved and inc > 15 then 'inconsistency'
-  when err > case when moved then 65 else 40 end then 'recompression' when not moved and integrity < 55 then 'integrity' end as rule from i)
-select claim_id, frame_index, round(integrity, 4) as integrity, rule, rule is null as passed from r""")
-def tamper_verdict(t):
+  when err > case when moved then 65 else 40 end then 'recompression' when not moved and integrity < 55 then 'integrity' end as rule from ti)"""
+
+
+def _frame_metrics(pixels):
     k = F.col("claim_id")
-    m = (_noise(t).join(_recompressed(t), ["claim_id", "frame_index"])
-         .withColumn("transferred", k % 3 == 0).withColumn("color_rejected", k % 17 == 0).withColumn("max_patch_var", F.col("max_patch_var") / 50)
-         .withColumn("peak_noise", F.col("peak_noise") * (F.lit(0.7) + k % 4 * 0.3)).withColumn("inconsistency", F.col("inconsistency") * (k % 5))
-         .withColumn("mean_error", F.col("mean_error") / (k % 4 + 1)))
+    return (_noise(pixels).join(_recompressed(pixels), ["claim_id", "frame_index"])
+            .withColumn("color_rejected", k % 17 == 0).withColumn("max_patch_var", F.col("max_patch_var") / 50)
+            .withColumn("peak_noise", F.col("peak_noise") * (F.lit(0.7) + k % 4 * 0.3)).withColumn("inconsistency", F.col("inconsistency") * (k % 5))
+            .withColumn("mean_error", F.col("mean_error") / (k % 4 + 1)))
+
+
+@query(f"""with {TAMPER_CTE.replace('{moved}', 'claim_id % 3 = 0')}
+select claim_id, frame_index, round(integrity, 4) as integrity, rule, rule is null as passed from tv""")
+def tamper_verdict(t):
+    m = _frame_metrics(t.pixels).withColumn("transferred", F.col("claim_id") % 3 == 0)
     return S.tamper_verdict(m).select("claim_id", "frame_index", F.round("integrity", 4).alias("integrity"), "rule", "passed")
 
 
@@ -225,7 +236,10 @@ r as (select *, case when faces = 0 then 'no_face' when usable = 0 then 'face_re
   when ml > 0.025 and mv < 15 then 'local_discrepancy' else 'live' end as rule from a)
 select claim_id, faces, usable, round(mv, 6) as min_variance, rule, rule in ('no_face', 'live') as passed from r""")
 def liveness_verdict(t):
+    return S.liveness_verdict(_faces(t)).withColumn("min_variance", F.round("min_variance", 6))
+
+
+def _faces(t):
     k, conf = F.col("claim_id"), F.col("confidence")
-    faces = t.detections.select("claim_id", F.when(k % 10 != 0, conf * 25 * F.when(k % 9 == 0, 100).otherwise(1)).alias("variance"),
+    return t.detections.select("claim_id", F.when(k % 10 != 0, conf * 25 * F.when(k % 9 == 0, 100).otherwise(1)).alias("variance"),
                                 (conf / 5000).alias("band_ratio"), (conf / 20).alias("local_spread"))
-    return S.liveness_verdict(faces).withColumn("min_variance", F.round("min_variance", 6))
