@@ -85,14 +85,15 @@ select event_id % 997 as claim_id, event_id as event_seq, ts as event_ts,
   case event_type when 'view' then 'queued' when 'click' then 'started' when 'signup' then 'uploaded'
     when 'purchase' then 'invalid' else 'failed' end as action
 from {events}""",
+    # Every event is a capture; signatures are dealt to them in turn, places by user.
     "scene_history": """
-select s.claim_id, s.color_sig, e.ts as capture_ts,
-  cast(19.05 + (s.claim_id % 40) * 0.0005 as double) as lat, cast(72.85 + (s.claim_id % 40) * 0.0007 as double) as lon
-from {signatures} s join {events} e on e.event_id = s.claim_id""",
+select e.event_id as claim_id, s.claim_id as sig, s.color_sig, e.ts as capture_ts,
+  cast(19.05 + (e.user_id % 400) * 0.0005 as double) as lat, cast(72.85 + (e.user_id % 400) * 0.0007 as double) as lon
+from {events} e cross join (select max(claim_id) + 1 as n from {signatures}) m join {signatures} s on s.claim_id = e.event_id % m.n""",
     "verify_pixels": """
-select 1000000 + d.doc_id as claim_id, p.frame_index, p.y, p.x, 128 + (p.v - 128) * (cast(d.doc_id % 5 + 2 as double) / 4) as v
+select 1000000 + d.doc_id as claim_id, p.frame_index, p.y, p.x, 128 + (p.v - 128) * (cast(d.doc_id % 5 + 1 as double) / 5) as v
 from {documents} d cross join (select max(claim_id) + 1 as n from {pixels}) m join {pixels} p on p.claim_id = d.doc_id % m.n
-where d.doc_id % 41 <> 7""",
+where length(d.text) >= 40""",
 }
 SPARK = {
     "verify_hashes": """
@@ -125,9 +126,10 @@ select v.claim_id, v.frame_index, v.bits, v.dbits from {hash_frames} lateral vie
   if(claim_id % 6 = 3 and frame_index < 4, named_struct('claim_id', 4000000 + claim_id, 'frame_index', 3 - frame_index,
     'bits', if(frame_index = 2, 0L, ~bits), 'dbits', 5L), null)), x -> x is not null)) v""",
     "scene_incoming": """
-select 1000000 + a.claim_id as claim_id, zip_with(a.color_sig, b.color_sig, (x, y) -> x * w + y * (1 - w)) as color_sig,
+select 1000000 + a.claim_id as claim_id, a.sig, b.sig as other, a.claim_id % 5 as kind,
+  zip_with(a.color_sig, b.color_sig, (x, y) -> x * w + y * (1 - w)) as color_sig,
   a.capture_ts + make_dt_interval(0, 0, 0, (a.claim_id % 11) * 60) as capture_ts,
-  a.lat + (a.claim_id % 4) * 0.0004D as lat, a.lon as lon, a.claim_id % 5 as kind
+  a.lat + (a.claim_id % 4) * 0.0004D as lat, a.lon as lon
 from (select *, case claim_id % 5 when 0 then 1.0D when 1 then 0.9D when 2 then 0.9D when 3 then 0.7D else 0.1D end as w
       from {scene_history}) a join {scene_history} b on b.claim_id = case when a.claim_id > 0 then a.claim_id - 1 else 1 end""",
     "hash_frames": """
@@ -174,9 +176,10 @@ union all select 3000000 + claim_id, frame_index, case when frame_index < 2 then
 union all select 4000000 + claim_id, 3 - frame_index, case when frame_index = 2 then 0 else -1 - bits end, 5
   from {hash_frames} where claim_id % 6 = 3 and frame_index < 4""",
     "scene_incoming": """
-select 1000000 + a.claim_id as claim_id, list_transform(list_zip(a.color_sig, b.color_sig), lambda z: z[1] * w + z[2] * (1 - w)) as color_sig,
+select 1000000 + a.claim_id as claim_id, a.sig, b.sig as other, a.claim_id % 5 as kind,
+  list_transform(list_zip(a.color_sig, b.color_sig), lambda z: z[1] * w + z[2] * (1 - w)) as color_sig,
   a.capture_ts + to_seconds((a.claim_id % 11) * 60) as capture_ts,
-  a.lat + (a.claim_id % 4) * 0.0004::double as lat, a.lon as lon, a.claim_id % 5 as kind
+  a.lat + (a.claim_id % 4) * 0.0004::double as lat, a.lon as lon
 from (select *, case claim_id % 5 when 0 then 1.0::double when 1 then 0.9::double when 2 then 0.9::double when 3 then 0.7::double else 0.1::double end as w
       from {scene_history}) a join {scene_history} b on b.claim_id = case when a.claim_id > 0 then a.claim_id - 1 else 1 end""",
     "hash_frames": """

@@ -97,27 +97,30 @@ def hamming_pairs(t):
     return pairs.withColumn("distance", X.bit_distance(F.col("l_bits"), F.col("r_bits")))
 
 
-MOTION_SQL = "[{0}.claim_id % 7, {0}.claim_id % 5, {0}.claim_id % 3 + {1}]"
 SIM_SQL = "list_sum(list_transform(list_zip(i.color_sig, h.color_sig), lambda z: least(z[1], z[2])))"
-SCENE_CTE = f"""sp as (select i.claim_id as ic, h.claim_id as hc, {SIM_SQL} as sim,
-    (case when abs((i.claim_id - 1000000) % 7 + case when i.kind = 2 then 20 else 0 end - h.claim_id % 7) <= 3 then 1 else 0 end
-     + case when abs((i.claim_id - 1000000) % 5 + case when i.kind = 2 then 20 else 0 end - h.claim_id % 5) <= 3 then 1 else 0 end) >= 1 as motion_ok,
-    abs(epoch(date_trunc('second', i.capture_ts)) - epoch(date_trunc('second', h.capture_ts))) as dt,
-    2 * 6371000.0::double * atan2(sqrt(pow(sin(radians(h.lat - i.lat) / 2), 2) + cos(radians(i.lat)) * cos(radians(h.lat)) * pow(sin(radians(h.lon - i.lon) / 2), 2)),
-      sqrt(1 - (pow(sin(radians(h.lat - i.lat) / 2), 2) + cos(radians(i.lat)) * cos(radians(h.lat)) * pow(sin(radians(h.lon - i.lon) / 2), 2)))) as metres
-  from {{scene_incoming}} i cross join {{scene_history}} h),
-r6 as (select ic, min(hc) as hc from sp where sim >= 0.95 or (sim >= 0.90 and motion_ok) group by 1),
-r7 as (select ic, min(hc) as hc from sp where dt <= 300 and sim >= 0.75 group by 1),
-r8 as (select ic, min(hc) as hc from sp where metres <= 100 and sim >= 0.70 group by 1)"""
+MOVED = "case when abs(i.sig % {0} + case when i.kind = 2 then 20 else 0 end - h.sig % {0}) <= 3 then 1 else 0 end"
+# Similarities of distinct signatures, then the captures that have them.
+SCENE_CTE = f"""si as materialized (select * from {{scene_incoming}}), sh as materialized (select * from {{scene_history}}),
+sp as materialized (select i.sig, i.other, i.kind, h.sig as hsig, {SIM_SQL} as sim, {MOVED.format(7)} + {MOVED.format(5)} >= 1 as motion_ok
+  from (select sig, other, kind, any_value(color_sig) as color_sig from si group by 1, 2, 3) i
+  cross join (select sig, any_value(color_sig) as color_sig from sh group by 1) h),
+r6 as (select i.claim_id as ic, min(h.hc) as hc from si i join sp using (sig, other, kind) join (select sig as hsig, min(claim_id) as hc from sh group by 1) h using (hsig)
+  where sim >= 0.95 or (sim >= 0.90 and motion_ok) group by 1),
+it as (select claim_id, sig, other, kind, lat, lon, cast(epoch(date_trunc('second', capture_ts)) as bigint) as sec from si),
+ht as (select claim_id, sig as hsig, lat as hlat, lon as hlon, cast(epoch(date_trunc('second', capture_ts)) as bigint) as hsec from sh),
+near_time as (select it.*, ht.* exclude (claim_id), ht.claim_id as hc from it join ht on hsec between sec - 300 and sec + 300),
+r7 as (select claim_id as ic, min(hc) as hc from near_time join sp using (sig, other, kind, hsig) where sim >= 0.75 group by 1),
+near_place as (select it.*, ht.* exclude (claim_id), ht.claim_id as hc, pow(sin(radians(hlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(hlat)) * pow(sin(radians(hlon - lon) / 2), 2) as a
+  from it join ht on hlat between lat - 0.00095 and lat + 0.00095),
+r8 as (select claim_id as ic, min(hc) as hc from near_place join sp using (sig, other, kind, hsig)
+  where 2 * 6371000.0::double * atan2(sqrt(a), sqrt(1 - a)) <= 100 and sim >= 0.70 group by 1)"""
 
 
 def _scenes(t):
-    k = F.col("claim_id")
     shift = F.when(F.col("kind") == 2, 20).otherwise(0)
-    base = (k - 1000000)
-    motion = lambda c, s: F.array(*[(c % m + s).cast("int") for m in (7, 5)]).alias("motion_sig")
-    i = t.scene_incoming.select("claim_id", "color_sig", motion(base, shift), "capture_ts", "lat", "lon")
-    h = t.scene_history.select("claim_id", "color_sig", motion(k, F.lit(0)), "capture_ts", "lat", "lon")
+    motion = lambda s: F.array(*[(F.col("sig") % m + s).cast("int") for m in (7, 5)]).alias("motion_sig")
+    i = t.scene_incoming.select("claim_id", "color_sig", motion(shift), "capture_ts", "lat", "lon")
+    h = t.scene_history.select("claim_id", "color_sig", motion(F.lit(0)), "capture_ts", "lat", "lon")
     return i, h
 
 
