@@ -151,6 +151,31 @@ def test_scene_without_motion_and_of_other_length(spark):
     assert rows(M.scene_match(i, h)) == [(1, 10), (2, 10)]
 
 
+@pytest.mark.parametrize("left,right,rows", [(60, 90, 16), (16, 16, 16), (17, 16, 16), (1, 400, 16)])
+def test_blocks_of_a_hot_key_meet_once(spark, left, right, rows):
+    side = lambda n, name: spark.range(n).select(F.col("id").alias(name), F.lit(7).alias("k")).unionByName(
+        spark.range(3).select((F.col("id") + 1000).alias(name), F.col("id").cast("int").alias("k")))
+    l, r = M.in_blocks(side(left, "a"), side(right, "b"), ["k"], "a", "b", rows)
+    met = l.join(r, ["k", "_lb", "_rb"]).select("a", "b").collect()
+    assert sorted(map(tuple, met)) == [(a, b) for a in range(left) for b in range(right)] + [(1000 + k, 1000 + k) for k in range(3)]
+    if left * right > 4 * rows * rows:
+        largest = l.groupBy("k", "_lb", "_rb").count().agg(F.max("count")).first()[0]
+        assert largest <= 3 * rows  # hashed ids, so about rows
+
+
+def test_one_default_timestamp_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(M.in_blocks, "__defaults__", (32,))
+    data = [(k, s) for k, s in scenes(spark, 150, 5)]
+    table = lambda first: spark.createDataFrame([(first + k, s) for k, s in data], "claim_id INT, color_sig ARRAY<DOUBLE>").select(
+        "*", F.lit("1970-01-01 00:00:00").cast("timestamp").alias("capture_ts"))
+    want = {}
+    for a, x in data:
+        hits = [1000 + b for b, y in data if sum(map(min, x, y)) >= 0.75]
+        if hits:
+            want[a] = min(hits)
+    assert dict(rows(M.time_window_match(table(0), table(1000)))) == want and want
+
+
 def haversine(a, b):
     p1, p2 = math.radians(a[0]), math.radians(b[0])
     s = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
