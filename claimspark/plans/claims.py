@@ -64,37 +64,35 @@ def forensic_checks(e: Evidence, static_threshold: float = K.STATIC_FEED_THRESHO
     """The checks of a verification run in order, for :func:`verify_claims`.
 
     Readable frames and container text; motion and duplicates; screen replay, copied or spliced blocks and
-    tampered frames; faces. Each reads the evidence of the claims that reach it. A claim fails the first check
-    without any pixels, the second without container text; evidence missing elsewhere fails nothing.
+    tampered frames; faces. Each reads the evidence of the claims that reach it. A claim without any pixels
+    fails the first check; other evidence that is missing fails nothing, and no container text is an empty one.
     """
-    def stage(number: int, check_no: int, code: str, failed: Callable[[DataFrame], DataFrame]) -> Stage:
+    def stage(number: int, check_no: int, code: str, failed: Callable[[Callable, DataFrame], DataFrame]) -> Stage:
         def run(alive: DataFrame) -> DataFrame:
             of = lambda df: df.join(alive, "claim_id", "left_semi")
-            bad = failed(of).select("claim_id").distinct().withColumn("_bad", F.lit(True))
+            bad = failed(of, alive).select("claim_id").distinct().withColumn("_bad", F.lit(True))
             return check(alive.join(bad, "claim_id", "left"), number, check_no, F.col("_bad").isNull(), code)
 
         return run
 
-    def without(evidence: DataFrame) -> Callable:
-        return lambda of: of(e.containers).join(evidence.select("claim_id"), "claim_id", "left_anti")
-
-    def tampered(of):
+    def tampered(of, alive):
         moved = metadata.container_scan(of(e.containers)).select("claim_id", "transferred")
-        return signals.tamper_verdict(of(e.metrics).join(moved, "claim_id")).where(~F.col("passed"))
+        frames = of(e.metrics).join(moved, "claim_id", "left").withColumn("transferred", F.coalesce("transferred", F.lit(False)))
+        return signals.tamper_verdict(frames).where(~F.col("passed"))
 
-    matched = lambda of: matching.rule_matches(materialize(of(e.hashes)), e.history)
-    replayed = lambda of: signals.screen_replay(signals.spectral_peak_ratio(of(e.spectra)), signals.planar_ratio(of(e.tracks))).where("detected")
-    altered = lambda of: (signals.copy_move(of(e.blocks)).select("claim_id")
-                          .unionByName(signals.temporal_splice(of(e.blocks)).select("claim_id")))
+    matched = lambda of, alive: matching.rule_matches(materialize(of(e.hashes)), e.history)
+    replayed = lambda of, alive: signals.screen_replay(signals.spectral_peak_ratio(of(e.spectra)), signals.planar_ratio(of(e.tracks))).where("detected")
+    altered = lambda of, alive: (signals.copy_move(of(e.blocks)).select("claim_id")
+                                 .unionByName(signals.temporal_splice(of(e.blocks)).select("claim_id")))
     return [
-        stage(1, 0, K.FRAMES_CODE, without(e.pixels)),
-        stage(1, 1, K.STAGE_DEFAULT_CODES[1], lambda of: metadata.container_scan(of(e.containers)).where(~F.coalesce("passed", F.lit(False)))),
-        stage(2, 0, K.STATIC_CODE, lambda of: signals.static_feed(of(e.pixels), static_threshold).where(~F.col("passed"))),
+        stage(1, 0, K.FRAMES_CODE, lambda of, alive: alive.join(e.pixels.select("claim_id"), "claim_id", "left_anti")),
+        stage(1, 1, K.STAGE_DEFAULT_CODES[1], lambda of, alive: metadata.container_scan(of(e.containers)).where(~F.col("passed"))),
+        stage(2, 0, K.STATIC_CODE, lambda of, alive: signals.static_feed(of(e.pixels), static_threshold).where(~F.col("passed"))),
         stage(2, 1, K.STAGE_DEFAULT_CODES[2], matched),
         stage(3, 0, K.SCREEN_CODE, replayed),
         stage(3, 1, K.BLOCKS_CODE, altered),
         stage(3, 2, K.STAGE_DEFAULT_CODES[3], tampered),
-        stage(4, 0, K.STAGE_DEFAULT_CODES[4], lambda of: signals.liveness_verdict(of(e.faces)).where(~F.col("passed"))),
+        stage(4, 0, K.STAGE_DEFAULT_CODES[4], lambda of, alive: signals.liveness_verdict(of(e.faces)).where(~F.col("passed"))),
     ]
 
 

@@ -89,16 +89,16 @@ from {events}""",
     "scene_history": """
 select e.event_id as claim_id, s.claim_id as sig, s.color_sig, e.ts as capture_ts,
   cast(19.05 + (e.user_id % 400) * 0.0005 as double) as lat, cast(72.85 + (e.user_id % 400) * 0.0007 as double) as lon
-from {events} e cross join (select max(claim_id) + 1 as n from {signatures}) m join {signatures} s on s.claim_id = e.event_id % m.n""",
+from (select *, event_id % (select max(claim_id) + 1 from {signatures}) as turn from {events}) e join {signatures} s on s.claim_id = e.turn""",
     "verify_pixels": """
 select 1000000 + d.doc_id as claim_id, p.frame_index, p.y, p.x, 128 + (p.v - 128) * (cast(d.doc_id % 5 + 1 as double) / 5) as v
-from {documents} d cross join (select max(claim_id) + 1 as n from {pixels}) m join {pixels} p on p.claim_id = d.doc_id % m.n
+from (select *, doc_id % (select max(claim_id) + 1 from {pixels}) as turn from {documents}) d join {pixels} p on p.claim_id = d.turn
 where length(d.text) >= 40""",
 }
 SPARK = {
     "verify_hashes": """
 select 1000000 + d.doc_id as claim_id, h.frame_index, h.bits ^ (case d.doc_id % 6 when 0 then 0L when 1 then 4095L when 2 then 1958105773755760193L when 3 then -3284181752646120303L when 4 then 6836907801653523160L else -8158935992142067755L end) as bits
-from {documents} d cross join (select max(claim_id) + 1 as n from {hash_frames}) m join {hash_frames} h on h.claim_id = d.doc_id % m.n""",
+from (select *, doc_id % (select max(claim_id) + 1 from {hash_frames}) as turn from {documents}) d join {hash_frames} h on h.claim_id = d.turn""",
     "blocks": """
 select claim_id, frame_index, cell div 8 as r, cell % 8 as c, std,
   case when flip then 2147483647 - base else base end as bits from (
@@ -154,7 +154,7 @@ from {embeddings} lateral view posexplode(embedding) t as p, v""",
 DUCK = {
     "verify_hashes": """
 select 1000000 + d.doc_id as claim_id, h.frame_index, xor(h.bits, case d.doc_id % 6 when 0 then (0)::bigint when 1 then (4095)::bigint when 2 then (1958105773755760193)::bigint when 3 then (-3284181752646120303)::bigint when 4 then (6836907801653523160)::bigint else (-8158935992142067755)::bigint end) as bits
-from {documents} d cross join (select max(claim_id) + 1 as n from {hash_frames}) m join {hash_frames} h on h.claim_id = d.doc_id % m.n""",
+from (select *, doc_id % (select max(claim_id) + 1 from {hash_frames}) as turn from {documents}) d join {hash_frames} h on h.claim_id = d.turn""",
     "blocks": """
 select claim_id, frame_index, cell // 8 as r, cell % 8 as c, std,
   case when flip then 2147483647 - base else base end as bits from (
