@@ -9,7 +9,7 @@ and bit counts. A tile pair returns a spanning forest of its links, never all pa
 Defined results: a null text is an empty one; a text without words has fingerprint zero and is
 linked like any other; repeated rows share a fingerprint and a component; an empty table gives no
 rows. Only key and text are read, so other columns' names do not matter. A null key is linked like
-any other, and is a component only where no key is known; ``deduplicate`` keeps all rows without a key.
+any other, and is a component only where no key is known.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from claimspark.session import materialize
 
-from .common import text_bytes, unused_prefix
+from .common import text_bytes
 from .graph import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -166,14 +166,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     least = rooted.groupBy("root").agg(F.min("doc").alias("component")).withColumnRenamed("root", "r")
     by_fp = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component")
     return found.join(by_fp, F.col("fp") == F.col("f")).select(F.col("doc_id").alias(key), "fp", "component")
-
-
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are their component's smallest key, one row a key, all columns kept.
-
-    Rows without a key cannot stand for others and stay.
-    """
-    name = f"{unused_prefix(docs)}stay"
-    stay = near_duplicates(docs, key, text, radius).filter(F.col(key) == F.col("component")).select(F.col(key).alias(name)).distinct()
-    first = docs.join(stay, F.col(key) == F.col(name), "left_semi").dropDuplicates([key])
-    return first.unionByName(docs.filter(F.col(key).isNull()))
