@@ -8,11 +8,16 @@ frame table: the stored side of these joins is neither exploded nor shuffled. Wh
 A claim is appended once it is complete. Appending the same frames again, after a failure or by a replayed
 batch, changes no answer: keys and frames are written before the row that marks their sequence as
 known, and readers drop repeated rows.
+
+Every append adds a file to each bucket it touches. Compaction writes a new version with one file a bucket, in
+as many buckets as the history has come to need, without repeated rows and with two claims a key. A version takes effect
+with its manifest; until then, and in queries planned before, the earlier one answers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +25,21 @@ from pyspark.sql import functions as F
 from ..functions.similarity import hash_bits
 from ..operators import matching as M
 from ..operators.skew import two_smallest
-from ..session import materialize
+from ..session import committed, materialize
 
 KIND = ["kind"]
-#: Columns of the tables, and those that they are bucketed by.
+#: Columns of the tables, those that they are bucketed by, and the keys of which a table keeps the two smallest claims.
 TABLES = {
-    "bands": ("kind string, key bigint, bits bigint", ["kind", "key"]),
-    "frames": ("kind string, bits bigint, fp string, pos int, n int", ["kind", "bits"]),
-    "groups": ("kind string, fp string, c1 bigint, c2 bigint", ["kind", "fp"]),
-    "contents": ("kind string, fp string, h_dark bigint, h_bright bigint, h_mask string", ["kind", "fp"]),
-    "mask_rows": ("kind string, h_mask string, h_mask_n int, pos int, tone int", ["kind", "h_mask"]),
-    "mask_claims": ("kind string, h_mask string, c1 bigint, c2 bigint", []),
-    "class_claims": ("kind string, class string, c1 bigint, c2 bigint", []),
-    "end_claims": ("kind string, last boolean, tone int, c1 bigint, c2 bigint", []),
+    "bands": ("kind string, key bigint, bits bigint", ["kind", "key"], None),
+    "frames": ("kind string, bits bigint, fp string, pos int, n int", ["kind", "bits"], None),
+    "groups": ("kind string, fp string, c1 bigint, c2 bigint", ["kind", "fp"], ["kind", "fp"]),
+    "contents": ("kind string, fp string, h_dark bigint, h_bright bigint, h_mask string", ["kind", "fp"], None),
+    "mask_rows": ("kind string, h_mask string, h_mask_n int, pos int, tone int", ["kind", "h_mask"], None),
+    "mask_claims": ("kind string, h_mask string, c1 bigint, c2 bigint", [], ["kind", "h_mask"]),
+    "class_claims": ("kind string, class string, c1 bigint, c2 bigint", [], ["kind", "class"]),
+    "end_claims": ("kind string, last boolean, tone int, c1 bigint, c2 bigint", [], ["kind", "last", "tone"]),
 }
+MANIFEST = "version int, folder string, buckets int"
 
 
 def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,29 +51,53 @@ def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
 class MatchIndex:
     """The index in ``path``, a folder that all executors reach; it is created if there is none.
 
-    ``buckets`` belongs to the folder and must stay the same; a bucket should fit a task's memory
-    when the history has its final size. One writer appends at a time.
+    ``buckets`` counts when the folder is new; later its manifest says how many there are. A bucket should fit
+    a task's memory; ``compact`` changes their number. One writer appends or compacts at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 1024, columns: tuple[str, ...] = M.HASH_COLUMNS):
-        self.spark, self.path, self.buckets, self.columns = spark, path.rstrip("/"), buckets, columns
-        self.name = f"match_index_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}"
-        for table, (ddl, keys) in TABLES.items():
+        self.spark, self.path, self.columns, self.version = spark, path.rstrip("/"), columns, -1
+        if not self._versions():
+            self._commit(0, self.path, buckets)
+        self.refresh()
+
+    def _versions(self) -> list[int]:
+        return sorted(int(f.rsplit("/", 1)[1]) for f in committed(self.spark, f"{self.path}/manifests/*"))
+
+    def _commit(self, version: int, folder: str, buckets: int) -> None:
+        row = self.spark.createDataFrame([(version, folder, buckets)], MANIFEST)
+        row.coalesce(1).write.parquet(f"{self.path}/manifests/{version}")
+
+    def refresh(self) -> None:
+        """Turn to the latest version; appending and matching do so by themselves."""
+        latest = self._versions()[-1]
+        if latest != self.version:
+            manifest = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{latest}").first()
+            self.version, self.buckets = latest, manifest.buckets
+            self.name = self._open(manifest.folder, manifest.buckets)
+
+    def _open(self, folder: str, buckets: int) -> str:
+        name = f"match_index_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+        for table, (ddl, keys, _) in TABLES.items():
             layout = f"CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {buckets} BUCKETS" if keys else ""
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({ddl}) USING parquet {layout} LOCATION '{self.path}/{table}'")
-            spark.catalog.refreshTable(f"{self.name}_{table}")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name}_{table} ({ddl}) USING parquet {layout} LOCATION '{folder}/{table}'")
+            self.spark.catalog.refreshTable(f"{name}_{table}")
+        return name
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{name}")
 
     def _add(self, name: str, rows: DataFrame) -> None:
-        ddl, keys = TABLES[name]
+        self._insert(self.name, self.buckets, name, rows)
+
+    def _insert(self, index: str, buckets: int, name: str, rows: DataFrame) -> None:
+        ddl, keys, _ = TABLES[name]
         rows = rows.select(*[c.split()[0] for c in ddl.split(", ")])
         # one file per bucket and batch
-        rows = rows.repartition(self.buckets, *keys) if keys else rows.coalesce(1)
-        rows.write.insertInto(f"{self.name}_{name}")
+        rows = rows.repartition(buckets, *keys) if keys else rows.coalesce(1)
+        rows.write.insertInto(f"{index}_{name}")
         # rows may come from another session (a micro-batch has its own), which keeps its own list of files
-        self.spark.catalog.refreshTable(f"{self.name}_{name}")
+        self.spark.catalog.refreshTable(f"{index}_{name}")
 
     def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
         """Rows dealt out as the buckets are, so that joins leave the stored side where it is."""
@@ -76,6 +106,7 @@ class MatchIndex:
     # ---- writing ----------------------------------------------------------------------
     def append(self, frames: DataFrame) -> None:
         """Add complete claims: ``claim_id, frame_index`` and hash columns."""
+        self.refresh()
         columns = [c for c in self.columns if c in frames.columns]
         rows = materialize(M.positioned(M.hash_frames(frames, columns)).drop("side"))
         content = F.concat_ws(" ", *[F.col(c).cast("string") for c in M.CONTENT])
@@ -97,6 +128,21 @@ class MatchIndex:
         self._add("end_claims", M.end_claims_of(rep, groups, KIND, "fp"))
         self._add("contents", new.join(tones, ["kind", "fp"], "left").join(masks, ["kind", "fp"], "left"))
 
+    def compact(self, buckets: int | None = None) -> None:
+        """Rewrite all tables as a new version, in ``buckets`` buckets (as many as before if not given).
+
+        One pass over every table. A compaction that fails leaves the version in effect as it is. Folders of earlier versions
+        are not deleted; they may go once no query reads them.
+        """
+        self.refresh()
+        buckets, folder = buckets or self.buckets, f"{self.path}/versions/{uuid.uuid4().hex}"
+        name = self._open(folder, buckets)
+        for table, (_, _, keys) in TABLES.items():
+            rows = self.table(table)
+            self._insert(name, buckets, table, folded(rows, keys) if keys else rows.distinct())
+        self._commit(self.version + 1, folder, buckets)
+        self.refresh()
+
     # ---- reading ----------------------------------------------------------------------
     def pairs(self, incoming: M.Prepared) -> DataFrame:
         """Near values that no weight class answers: ``kind, l_bits, r_bits``. Only probes move."""
@@ -115,10 +161,10 @@ class MatchIndex:
         frames = materialize(self.touched(pairs))
         fps = self._dealt(frames.select("kind", F.col("h_fp").alias("fp")), "fp").distinct()
         of_touched = lambda name: self.table(name).join(fps, ["kind", "fp"], "left_semi")
-        groups = materialize(folded(of_touched("groups"), ["kind", "fp"]))
+        groups = materialize(folded(of_touched("groups"), TABLES["groups"][2]))
         contents = materialize(of_touched("contents").distinct().where("h_mask is not null"))
         small = {name: materialize(folded(self.table(name), keys)) for name, keys in
-                 (("mask_claims", ["kind", "h_mask"]), ("class_claims", ["kind", "class"]), ("end_claims", ["kind", "last", "tone"]))}
+                 ((n, TABLES[n][2]) for n in ("mask_claims", "class_claims", "end_claims"))}
         rows = self.table("mask_rows").distinct()
 
         def stored(kind: str) -> M.Stored:
@@ -131,6 +177,7 @@ class MatchIndex:
 
     def rule_matches(self, frames: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
         """``claim_id, rule_no, hist_claim`` of the hash rules for incoming claims, as :func:`matching.rule_matches`."""
+        self.refresh()
         columns = [c for c in self.columns if c in frames.columns]
         fresh = M.prepare(M.hash_frames(frames, columns, "incoming"))
         sides = self.sides(fresh, columns)

@@ -102,3 +102,57 @@ def test_hidden_types_and_unknown_hashes(spark, tmp_path):
     index.append(table(spark, history).limit(0))
     more = table(spark, incoming).withColumn("dhash", F.lit("ff"))
     assert answers(index, more) == brute(incoming, history)
+
+
+def files(folder):
+    return sum(f.suffix == ".parquet" for f in folder.rglob("*"))
+
+
+def test_compaction_changes_files_and_buckets_but_no_answer(spark, tmp_path):
+    rng = random.Random(15)
+    incoming = clips(rng, 40, 25, KINDS)
+    parts = [clips(rng, 100 * k, 25, KINDS) for k in (2, 0, 1, 3)]
+    parts[2] |= {150 + k: list(c) for k, c in enumerate(list(incoming.values())[:6] + list(parts[0].values())[:3])}
+    path = tmp_path / "index"
+    index = MatchIndex(spark, str(path), buckets=4)
+    for part in [*parts[:3], parts[0]]:  # one batch twice
+        index.append(table(spark, part))
+    history = parts[0] | parts[1] | parts[2]
+    reader, planned = MatchIndex(spark, str(path), buckets=99), index.table("frames")
+    assert reader.buckets == 4  # the folder says so
+    before, stored = files(path / "frames"), {n: index.table(n).distinct().count() for n in ("bands", "frames", "contents")}
+    index.compact(buckets=3)
+    assert (index.version, index.buckets) == (1, 3)
+    assert stored == {n: index.table(n).count() for n in stored}
+    assert index.table("groups").count() == index.table("groups").select("kind", "fp").distinct().count()
+    kept = list((path / "versions").iterdir())
+    assert len(kept) == 1 and files(kept[0] / "frames") <= 3 < before
+    assert planned.distinct().count() == stored["frames"]  # what was planned before still reads its files
+    assert answers(index, table(spark, incoming)) == brute(incoming, history)
+    reader.append(table(spark, parts[3]))  # a writer that was open before goes to the new version
+    assert reader.version == 1
+    for one in (index, reader, MatchIndex(spark, str(path))):
+        assert answers(one, table(spark, incoming)) == brute(incoming, history | parts[3])
+
+
+def test_a_compaction_that_fails_takes_no_effect(spark, tmp_path):
+    rng = random.Random(16)
+    incoming, history = clips(rng, 40, 20, KINDS), clips(rng, 0, 30, KINDS)
+    index = MatchIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.append(table(spark, history))
+    insert = index._insert
+
+    def fails(name, buckets, which, rows):
+        if which == "contents":
+            raise RuntimeError("lost")
+        insert(name, buckets, which, rows)
+
+    index._insert = fails
+    try:
+        index.compact(2)
+    except RuntimeError:
+        pass
+    index._insert = insert
+    assert (index.version, index.buckets) == (0, 4) and answers(index, table(spark, incoming)) == brute(incoming, history)
+    index.compact(2)
+    assert (index.version, index.buckets) == (1, 2) and answers(index, table(spark, incoming)) == brute(incoming, history)
