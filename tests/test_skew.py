@@ -176,6 +176,39 @@ def test_one_default_timestamp_on_both_sides(spark, monkeypatch):
     assert dict(rows(M.time_window_match(table(0), table(1000)))) == want and want
 
 
+@pytest.mark.parametrize("cost,few", [(0, 256), (1e9, 256), (1e9, 2)])
+def test_captures_that_share_histograms(spark, monkeypatch, cost, few):
+    """By time first, by histograms first, and with histograms of many captures."""
+    monkeypatch.setattr(M, "PAIR_COST", cost)
+    monkeypatch.setattr(M, "FEW", few)
+    rng, sigs = random.Random(8), [s for _, s in scenes(spark, 12, 6)]
+    mixed = [[0.8 * x + 0.2 * y for x, y in zip(a, b)] for a, b in zip(sigs, sigs[1:])] + [[None] * 12, [0.0] * 12, [-0.5] + [1.5 / 11] * 11]
+    pick = lambda first, n: [(first + k, rng.choice(sigs + mixed), rng.randrange(4000), rng.randrange(30) * 0.0003) for k in range(n)]
+    incoming, history = pick(0, 120), pick(1000, 150)
+    table = lambda data: spark.createDataFrame([(k, s, float(sec), 10.0 + lat, 20.0) for k, s, sec, lat in data], "claim_id INT, color_sig ARRAY<DOUBLE>, sec DOUBLE, lat DOUBLE, lon DOUBLE").withColumn(
+        "capture_ts", F.col("sec").cast("timestamp")).withColumn("motion_sig", F.array(F.col("claim_id") % 3 * 9))
+    one = lambda x, y: y if x is None else x if y is None else min(x, y)
+    alike = lambda a, b, least: None not in (t := [one(x, y) for x, y in zip(a, b)]) and sum(t) >= least
+
+    def first(near):
+        hits = ((a[0], min((b[0] for b in history if near(a, b)), default=None)) for a in incoming)
+        return {a: b for a, b in hits if b is not None}
+
+    i, h = table(incoming), table(history)
+    assert dict(rows(M.time_window_match(i, h))) == first(lambda a, b: abs(a[2] - b[2]) <= 300 and alike(a[1], b[1], 0.75))
+    assert dict(rows(M.gps_radius_match(i, h))) == first(lambda a, b: haversine((10 + a[3], 20), (10 + b[3], 20)) <= 100 and alike(a[1], b[1], 0.70))
+    whole = lambda a, b: None not in a[1] + b[1]
+    assert dict(rows(M.scene_match(i, h))) == first(lambda a, b: whole(a, b) and (alike(a[1], b[1], 0.95) or alike(a[1], b[1], 0.90) and a[0] % 3 == b[0] % 3))
+
+
+def test_a_histogram_is_compared_once_and_not_once_a_capture(spark):
+    table = lambda first: spark.range(600).select((F.col("id") + first).alias("claim_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(0.5), F.lit(0.5)))
+                                                  .otherwise(F.array(F.lit(0.9), F.lit(0.1))).alias("color_sig"))
+    left, right = M.scenes(table(0)), M.scenes(table(1000))
+    assert left.values.count() == 2 and "color_sig" not in left.claims.columns
+    assert M.scene_pairs(left, right, 0.7).count() == 2 and M.scene_pairs(left, right, 0.6).count() == 4
+
+
 def haversine(a, b):
     p1, p2 = math.radians(a[0]), math.radians(b[0])
     s = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
