@@ -112,11 +112,11 @@ class MatchIndex:
         content = F.concat_ws(" ", *[F.col(c).cast("string") for c in M.CONTENT])
         member = materialize(M._contents(rows, KIND).select("kind", "claim_id", content.alias("fp")))
         groups = materialize(two_smallest(member, ["kind", "fp"], "claim_id"))
-        rep = materialize(rows.join(groups.select("kind", F.col("c1").alias("claim_id"), "fp"), ["kind", "claim_id"]).drop("claim_id"))
+        rep = materialize(rows.join(M.merged(groups).select("kind", F.col("c1").alias("claim_id"), "fp"), ["kind", "claim_id"]).drop("claim_id"))
         tones, masks = materialize(M.tones_of(rep, ["kind", "fp"])), materialize(M.masks_of(rep, ["kind", "fp"]))
 
         new = materialize(groups.join(self.table("contents").select("kind", "fp"), ["kind", "fp"], "left_anti").select("kind", "fp"))
-        fresh = rep.join(new, ["kind", "fp"]).where(F.col("bits").isNotNull())
+        fresh = rep.join(M.merged(new), ["kind", "fp"]).where(F.col("bits").isNotNull())
         values = M.distinct_values(self._dealt(fresh, "bits"), KIND).join(self.table("frames").select("kind", "bits"), ["kind", "bits"], "left_anti")
         self._add("bands", values.select("kind", "bits", F.explode(M.band_keys(F.col("bits"))).alias("key")))
         self._add("frames", fresh)
@@ -152,7 +152,7 @@ class MatchIndex:
     def touched(self, pairs: DataFrame) -> DataFrame:
         """Stored frames with a value in ``pairs``: ``kind, h_fp, pos, h_n, r_bits``. Only the values move."""
         values = self._dealt(pairs.select("kind", F.col("r_bits").alias("bits")), "bits").distinct()
-        held = self.table("frames").join(values, ["kind", "bits"], "left_semi")
+        held = self.table("frames").join(M.merged(values), ["kind", "bits"], "left_semi")
         return held.select("kind", F.col("fp").alias("h_fp"), "pos", F.col("n").alias("h_n"), F.col("bits").alias("r_bits")).distinct()
 
     def sides(self, incoming: M.Prepared, columns: list[str] | tuple[str, ...]) -> list[M.Side]:
@@ -160,7 +160,7 @@ class MatchIndex:
         pairs = materialize(self.pairs(incoming))
         frames = materialize(self.touched(pairs))
         fps = self._dealt(frames.select("kind", F.col("h_fp").alias("fp")), "fp").distinct()
-        of_touched = lambda name: self.table(name).join(fps, ["kind", "fp"], "left_semi")
+        of_touched = lambda name: self.table(name).join(M.merged(fps), ["kind", "fp"], "left_semi")
         groups = materialize(folded(of_touched("groups"), TABLES["groups"][2]))
         contents = materialize(of_touched("contents").distinct().where("h_mask is not null"))
         small = {name: materialize(folded(self.table(name), keys)) for name, keys in
@@ -168,12 +168,12 @@ class MatchIndex:
         rows = self.table("mask_rows").distinct()
 
         def stored(kind: str) -> M.Stored:
-            of = lambda df: df.where(F.col("kind") == kind).drop("kind")
+            of = lambda df: M.merged(df.where(F.col("kind") == kind).drop("kind"))
             held = of(contents).withColumnRenamed("fp", "h_fp")
             return M.Stored(of(frames), of(groups).withColumnRenamed("fp", "h_fp"), held.select("h_fp", "h_dark", "h_bright"),
                             held.select("h_fp", "h_mask"), of(rows), *[of(small[n]) for n in ("mask_claims", "class_claims", "end_claims")])
 
-        return [(incoming.sequences(c, "incoming"), stored(c), pairs.where(F.col("kind") == c).drop("kind")) for c in columns]
+        return [(incoming.sequences(c, "incoming"), stored(c), M.merged(pairs.where(F.col("kind") == c).drop("kind"))) for c in columns]
 
     def rule_matches(self, frames: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
         """``claim_id, rule_no, hist_claim`` of the hash rules for incoming claims, as :func:`matching.rule_matches`."""
