@@ -65,7 +65,7 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         found, cache = self.pieces(text), self.cache
         try:
-            return np.frombuffer(b"".join([cache[p] for p in found]), dtype="<i4")
+            return np.frombuffer(b"".join(map(cache.__getitem__, found)), dtype="<i4")
         except KeyError:
             pass
         new = [p for p in dict.fromkeys(found) if p not in cache]
@@ -92,7 +92,7 @@ class Codec:
                 token = self.model.id_to_token(k)
                 # a special token's string is not written in byte characters
                 parts.append(bytes(of[c] for c in token) if all(c in of for c in token) else token.encode())
-            self._table = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+            self._table = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)], dtype=np.int32)
         return self._table
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -101,9 +101,13 @@ class Codec:
         data, begin = self.table
         if ids.min() < 0 or ids.max() >= len(begin) - 1:
             raise ValueError("id outside the vocabulary")
-        size = begin[ids + 1] - begin[ids]
-        end = np.cumsum(size)
-        return data[np.arange(end[-1]) + np.repeat(begin[ids] - (end - size), size)].tobytes()
+        start = begin[ids]
+        size = begin[ids + 1] - start
+        end = np.cumsum(size, dtype=np.int64)
+        wide = np.int32 if end[-1] < 1 << 31 else np.int64  # narrow places move half the memory
+        at = np.repeat((start - (end - size)).astype(wide), size)
+        at += np.arange(end[-1], dtype=wide)
+        return data.take(at).tobytes()
 
     def char_offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character and end character (exclusive) that each id touches."""
