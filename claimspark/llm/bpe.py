@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-``encode`` splits each text by the public pattern and encodes every distinct piece once per
-bounded cache; pieces are independent of each other, so the ids are those of the whole text.
+``encode`` splits each text by the public pattern and merges every distinct piece once per
+two bounded caches; pieces are independent of each other, so the ids are those of the whole text.
 ``decode`` reverses the byte table of the vocabulary. Characters split over several ids are
 whole again because bytes, not strings, are joined; ``char_offsets`` says which characters
 each id touches.
@@ -14,6 +14,7 @@ replaced. Repeated rows give repeated results.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import unused_prefix
 
-#: Distinct pieces kept per task before the cache is emptied; it bounds memory only.
+#: Distinct pieces kept per task before the cache becomes the older one and starts anew; it bounds memory only.
 CACHE_PIECES = 80_000
 #: Longer pieces are encoded each time they occur.
 CACHE_CHARS = 64
@@ -57,29 +58,33 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings are ordinary text
+        self.merge = self.model.model.tokenize  # knows no special tokens: their strings are ordinary text
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.characters = {byte: ord(c) for c, byte in byte_characters().items()}
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._table = None
 
     def encode(self, text: str) -> np.ndarray:
-        found, cache = self.pieces(text), self.cache
-        try:
-            return np.frombuffer(b"".join(map(cache.__getitem__, found)), dtype="<i4")
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(found) if p not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = list(dict.fromkeys(found))
-        made = {}
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for piece, code in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                made[piece] = np.asarray(code.ids, dtype="<i4").tobytes()
-        cache.update((p, i) for p, i in made.items() if len(p) <= CACHE_CHARS)
-        out = b"".join([made[p] if p in made else cache[p] for p in found])
-        return np.frombuffer(out, dtype="<i4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a piece that none of the caches has is merged once for all of them."""
+        found, cache, older = [self.pieces(t) for t in texts], self.cache, self.older
+        new = set().union(*found).difference(cache)
+        for piece in new:
+            code = older.get(piece)
+            if code is None:
+                shown = piece.encode().decode("latin-1").translate(self.characters)
+                code = array("i", [t.id for t in self.merge(shown)]).tobytes()
+            cache[piece] = code
+        coded = [np.frombuffer(b"".join(map(cache.__getitem__, f)), dtype="<i4") for f in found]
+        for piece in new:
+            if len(piece) > CACHE_CHARS:
+                del cache[piece]
+        if len(cache) > CACHE_PIECES:  # pieces in use come back from the older cache
+            self.cache, self.older = {}, cache
+        return coded
 
     @property
     def table(self) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +155,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", offsets: bool
         codec = Codec(path)
         for whole in batches:
             for b in _slices(whole, whole.num_columns - 1):
-                coded = [codec.encode(t.decode("utf-8", "replace")) for t in b.column(b.num_columns - 1).to_pylist()]
+                coded = codec.encode_all([t.decode("utf-8", "replace") for t in b.column(b.num_columns - 1).to_pylist()])
                 made = [_lists(coded)]
                 if offsets:
                     spans = [codec.char_offsets(c) for c in coded]

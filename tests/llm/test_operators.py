@@ -76,6 +76,17 @@ def test_bpe_offsets_of_split_characters_and_small_cache(monkeypatch):
         codec.decode(np.array([60_000]))
 
 
+def test_bpe_pieces_in_use_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
+    codec, merged = bpe.Codec(bpe.vocabulary_path()), []
+    merge = codec.merge
+    monkeypatch.setattr(codec, "merge", lambda shown: merged.append(shown) or merge(shown))
+    for k in range(50):
+        text = f"often w{'x' * k} often{'y' * 100}"
+        assert codec.decode(codec.encode(text)) == text.encode()
+    assert merged.count("often") == 1 and len(codec.cache) <= 3 + 4
+
+
 # --- secrets -------------------------------------------------------------------------------------
 
 def spans_by_hand(t):
