@@ -92,19 +92,26 @@ def truthy(v: Column, path: str) -> Column:
     return F.when(~F.coalesce(blank, F.lit(False)), text)
 
 
-def audit_struct(v: Column, now: Column) -> Column:
+def stage_reports(v: Column) -> list[Column]:
+    """The stored report of each stage of an audit report (VARIANT), found under its key or by place in an array ``stages``."""
+    return [F.coalesce(F.try_variant_get(v, f"$.{K.STAGE_KEYS[n - 1]}", "variant"), F.try_variant_get(v, f"$.stages[{n - 1}]", "variant")) for n in STAGES]
+
+
+def audit_struct(v: Column, now: Column, reports: list[Column] | None = None) -> Column:
     """A stored audit report (VARIANT) with every missing part set to its default.
 
     Stages are found under their keys, or by place in an array ``stages``. Numbers are epoch seconds; any other time is
     kept as written, and ``now`` stands for none. ``metricLabel`` and ``metricValue`` are kept as they are.
+    ``reports`` are :func:`stage_reports` where they are columns already: many fields read each of them.
     """
+    reports = stage_reports(v) if reports is None else reports
     epoch = F.when(~F.schema_of_variant(F.try_variant_get(v, "$.timestamp", "variant")).isin("STRING", "BOOLEAN"), F.try_variant_get(v, "$.timestamp", "double"))
     iso = lambda t: F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     number = lambda path: F.nullif(F.try_variant_get(v, path, "string").try_cast("double"), F.lit(0.0)).cast("int")
 
     def stage(n: int) -> Column:
         key, short = K.STAGE_KEYS[n - 1], K.STAGE_SHORT_NAMES[n - 1]
-        s = F.coalesce(F.try_variant_get(v, f"$.{key}", "variant"), F.try_variant_get(v, f"$.stages[{n - 1}]", "variant"))
+        s = reports[n - 1]
         text = lambda c, default: F.coalesce(truthy(s, f"$.{c}"), F.lit(default))
         status = F.try_variant_get(s, "$.status", "string")
         return F.struct(F.lit(key).alias("key"), F.coalesce(F.nullif(F.try_variant_get(s, "$.stage", "string").try_cast("double"), F.lit(0.0)).cast("int"), F.lit(n)).alias("stage"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import audit_struct, audit_variant
+from ..operators.audit import STAGES, audit_struct, audit_variant, stage_reports
 from ..operators.queue import owner_of
 
 LISTS = ("detections", "detection_frames", "damageAreas")
@@ -32,14 +32,18 @@ def parse_stored_analysis(df: DataFrame, raw: str, now: Column | None = None) ->
     Unknown fields stay as they are, at any depth. Lists are never missing, reasons are texts, and the security report is
     normalised (:func:`audit.audit_struct`). ``to_json`` writes the record back.
     """
-    whole = F.try_parse_json(F.col(raw))
-    parsed = df.withColumn("_v", F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole))
+    # What many fields read is a column of its own step, and evaluated once a row: the text, the report, its stages.
+    parsed = df.withColumn("_v_text", F.try_parse_json(F.col(raw)))
+    parsed = parsed.withColumn("_v", F.when(F.schema_of_variant("_v_text").startswith("OBJECT"), F.col("_v_text"))).drop("_v_text")
+    parsed = parsed.withColumn("_v_report", F.try_variant_get("_v", "$.fiveStageSecurity", "variant"))
+    stages = [f"_v_stage{n}" for n in STAGES]
+    parsed = parsed.withColumns(dict(zip(stages, stage_reports(F.col("_v_report")))))
     v = F.col("_v")
     of = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
     empty = F.array().cast("array<variant>")
     lists = [x for name in LISTS for x in (F.lit(name), F.to_variant_object(F.coalesce(of(name, "array<variant>"), empty)))]
     reasons = F.transform(F.coalesce(of("modelReasoning", "array<variant>"), empty), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("null")))
-    report = audit_variant(audit_struct(of("fiveStageSecurity", "variant"), F.current_timestamp() if now is None else now))
+    report = audit_variant(audit_struct(F.col("_v_report"), F.current_timestamp() if now is None else now, [F.col(c) for c in stages]))
     known = F.create_map(*lists, F.lit("modelReasoning"), F.to_variant_object(reasons), F.lit("fiveStageSecurity"), report)
     others = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(*LISTS, "modelReasoning", "fiveStageSecurity"))
-    return parsed.withColumn("analysis", F.when(v.isNotNull(), F.to_variant_object(F.map_concat(others, known)))).drop("_v")
+    return parsed.withColumn("analysis", F.when(v.isNotNull(), F.to_variant_object(F.map_concat(others, known)))).drop("_v", "_v_report", *stages)

@@ -323,8 +323,8 @@ def parse_stored_analysis(t):
     raw = (F.when(e % 4 == 0, "{not json").when(e % 4 == 1, whole)
            .when(e % 4 == 2, '{"detections":"oops"}').otherwise('{"summary":null}'))
     out = S.parse_stored_analysis(t.events.select("event_id", raw.alias("raw")), "raw", F.lit("2024-06-01 00:00:00").cast("timestamp"))
-    v = F.try_parse_json(F.to_json("analysis"))
-    return out.select("event_id", F.col("analysis").isNotNull().alias("parsed"),
+    v = F.col("written")
+    return out.withColumn("written", F.try_parse_json(F.to_json("analysis"))).select("event_id", F.col("analysis").isNotNull().alias("parsed"),
                       F.when(F.col("analysis").isNotNull(), F.size(F.variant_get(v, "$.detections", "array<variant>"))).alias("detections"),
                       F.variant_get(v, "$.extra.type", "string").alias("extra"), F.try_variant_get(v, "$.detections[0].odd", "bigint").alias("odd"),
                       F.variant_get(v, "$.fiveStageSecurity.stage2_phash.status", "string").alias("duplicate_check"),
