@@ -16,13 +16,15 @@ def container_scan(df: DataFrame, body: str = "body") -> DataFrame:
     tool), ``signal`` (generic editing phrase, ignored for transferred media) and
     ``passed``. The whole text is searched.
     """
-    low = df.withColumn("_low", F.lower(F.col(body)))
-    out = (low.withColumn("transferred", T.any_keyword(F.col("_low"), K.TRANSFER_MARKERS))
-           .withColumn("keyword", T.first_keyword(F.col("_low"), K.EDITING_KEYWORDS)))
-    signal = F.when(F.col("keyword").isNull() & ~F.col("transferred"),
-                    T.first_keyword(F.col("_low"), K.GENERIC_EDIT_SIGNALS))
-    return (out.withColumn("signal", signal)
-            .withColumn("passed", F.col("keyword").isNull() & F.col("signal").isNull()).drop("_low"))
+    # Each step is bound as an array of one: a filter on the verdict would else lower the text anew for every word.
+    found = F.transform(F.array(F.lower(F.col(body))), lambda low: F.struct(
+        low.alias("low"), T.any_keyword(low, K.TRANSFER_MARKERS).alias("transferred"), T.first_keyword(low, K.EDITING_KEYWORDS).alias("keyword")))
+    found = F.transform(found, lambda f: F.struct(f["transferred"].alias("transferred"), f["keyword"].alias("keyword"), F.when(
+        f["keyword"].isNull() & ~f["transferred"], T.first_keyword(f["low"], K.GENERIC_EDIT_SIGNALS)).alias("signal")))
+    found = F.transform(found, lambda f: F.struct(f["transferred"].alias("transferred"), f["keyword"].alias("keyword"), f["signal"].alias("signal"),
+                                                  (f["keyword"].isNull() & f["signal"].isNull()).alias("passed")))
+    return df.withColumn("_found", F.get(found, F.lit(0))).withColumns(
+        {c: F.col(f"_found.{c}") for c in ("transferred", "keyword", "signal", "passed")}).drop("_found")
 
 
 def capture_metadata(df: DataFrame, body: str = "body") -> DataFrame:

@@ -28,14 +28,15 @@ def verify_claims(claims: DataFrame, stages: list[Stage]) -> DataFrame:
     """Run audit stages in order; only claims that passed a stage reach the next one.
 
     Each stage maps surviving ``claim_id`` rows to check rows (see :func:`check`). The
-    check table of a stage is written once, because survivors and roll-up both read it.
+    check table of a stage is written once, because survivors and roll-up both read it; so are
+    the survivors, or every later stage would run the joins of all stages before it.
     Stage 5 has no provider and stays SKIPPED. Returns the rolled-up five stages.
     """
     alive, done = claims.select("claim_id"), []
     for stage in stages:
         rows = materialize(stage(alive).select(*CHECK_COLUMNS))
         done.append(rows)
-        alive = alive.join(rows.where(F.col("raw_status") == "FAILED").select("claim_id").distinct(), "claim_id", "left_anti")
+        alive = materialize(alive.join(rows.where(F.col("raw_status") == "FAILED").select("claim_id").distinct(), "claim_id", "left_anti"))
     return audit.audit_rollup(reduce(DataFrame.unionByName, done))
 
 
@@ -46,7 +47,8 @@ class Evidence:
     ``containers``: ``body``. ``pixels``: ``frame_index, y, x, v``. ``hashes`` and ``history``: frames as
     :func:`matching.rule_matches` reads them. ``spectra``, ``tracks``, ``blocks``, ``faces``: as read by
     :func:`signals.spectral_peak_ratio`, :func:`signals.planar_ratio`, :func:`signals.copy_move` and
-    :func:`signals.liveness_verdict`. ``metrics``: per frame what :func:`signals.tamper_verdict` reads, but ``transferred``.
+    :func:`signals.liveness_verdict`. ``metrics``: per frame what :func:`signals.tamper_verdict` reads, but ``transferred``;
+    or a function of pixels that gives it, which then sees only those of the claims in question.
     """
 
     containers: DataFrame
@@ -56,7 +58,7 @@ class Evidence:
     spectra: DataFrame
     tracks: DataFrame
     blocks: DataFrame
-    metrics: DataFrame
+    metrics: DataFrame | Callable[[DataFrame], DataFrame]
     faces: DataFrame
 
 
@@ -77,7 +79,8 @@ def forensic_checks(e: Evidence, static_threshold: float = K.STATIC_FEED_THRESHO
 
     def tampered(of, alive):
         moved = metadata.container_scan(of(e.containers)).select("claim_id", "transferred")
-        frames = of(e.metrics).join(moved, "claim_id", "left").withColumn("transferred", F.coalesce("transferred", F.lit(False)))
+        metrics = e.metrics(of(e.pixels)) if callable(e.metrics) else of(e.metrics)
+        frames = metrics.join(moved, "claim_id", "left").withColumn("transferred", F.coalesce("transferred", F.lit(False)))
         return signals.tamper_verdict(frames).where(~F.col("passed"))
 
     matched = lambda of, alive: matching.rule_matches(materialize(of(e.hashes)), e.history)
@@ -85,7 +88,7 @@ def forensic_checks(e: Evidence, static_threshold: float = K.STATIC_FEED_THRESHO
     altered = lambda of, alive: (signals.copy_move(of(e.blocks)).select("claim_id")
                                  .unionByName(signals.temporal_splice(of(e.blocks)).select("claim_id")))
     return [
-        stage(1, 0, K.FRAMES_CODE, lambda of, alive: alive.join(e.pixels.select("claim_id"), "claim_id", "left_anti")),
+        stage(1, 0, K.FRAMES_CODE, lambda of, alive: alive.join(e.pixels.select("claim_id").distinct(), "claim_id", "left_anti")),
         stage(1, 1, K.STAGE_DEFAULT_CODES[1], lambda of, alive: metadata.container_scan(of(e.containers)).where(~F.col("passed"))),
         stage(2, 0, K.STATIC_CODE, lambda of, alive: signals.static_feed(of(e.pixels), static_threshold).where(~F.col("passed"))),
         stage(2, 1, K.STAGE_DEFAULT_CODES[2], matched),
