@@ -1,9 +1,11 @@
 """The verification run on claims made by hand: each fails where it was made to."""
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from claimspark.operators import metadata
 from claimspark.plans import claims as P
 
 PIXELS = "claim_id LONG, frame_index INT, y INT, x INT, v DOUBLE"
@@ -55,3 +57,27 @@ def test_each_claim_stops_at_its_first_failing_check(spark):
 def test_no_claims(spark):
     e = evidence(spark, {})
     assert P.verify_claims(e.containers.where(F.lit(False)), P.forensic_checks(e)).count() == 0
+
+
+def test_metrics_are_built_from_pixels_of_claims_that_reach_them(spark):
+    e, seen = evidence(spark, {7: "noise"}), []
+
+    def metrics(pixels):
+        seen.extend(r.claim_id for r in pixels.select("claim_id").distinct().collect())
+        return e.metrics.where(F.col("claim_id").isin(seen))
+
+    alive = spark.createDataFrame([(6,), (7,)], "claim_id LONG")
+    rows = lambda given: sorted(tuple(r) for r in P.forensic_checks(given)[6](alive).select("claim_id", "raw_status").collect())
+    assert rows(replace(e, metrics=metrics)) == rows(e) == [(6, "PASSED"), (7, "FAILED")]
+    assert sorted(seen) == [6, 7]
+
+
+def test_a_text_is_lowered_once(spark):
+    texts = spark.createDataFrame([(1, "shot by CapCut"), (2, "WhatsApp, edited"), (3, "EDITED"), (4, "camera"), (5, None)], "claim_id LONG, body STRING")
+    out = metadata.container_scan(texts)
+    assert [tuple(r) for r in out.orderBy("claim_id").drop("body").collect()] == [
+        (1, False, "capcut", None, False), (2, True, None, None, True), (3, False, None, "edited", False), (4, False, None, None, True),
+        (5, None, None, None, True)]
+    failed = texts.repartition(2).transform(metadata.container_scan).where(~F.col("passed")).select("claim_id")
+    plan = failed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
