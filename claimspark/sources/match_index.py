@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import hash_bits
 from ..operators import matching as M
 from ..operators.skew import two_smallest
-from ..session import committed, materialize
+from ..session import at_once, committed, materialize
 
 KIND = ["kind"]
 #: Columns of the tables, those that they are bucketed by, and the keys of which a table keeps the two smallest claims.
@@ -110,22 +110,23 @@ class MatchIndex:
         columns = [c for c in self.columns if c in frames.columns]
         rows = materialize(M.positioned(M.hash_frames(frames, columns)).drop("side"))
         content = F.concat_ws(" ", *[F.col(c).cast("string") for c in M.CONTENT])
-        member = materialize(M._contents(rows, KIND).select("kind", "claim_id", content.alias("fp")))
+        member = M._contents(rows, KIND).select("kind", "claim_id", content.alias("fp"))
         groups = materialize(two_smallest(member, ["kind", "fp"], "claim_id"))
         rep = materialize(rows.join(M.merged(groups).select("kind", F.col("c1").alias("claim_id"), "fp"), ["kind", "claim_id"]).drop("claim_id"))
-        tones, masks = materialize(M.tones_of(rep, ["kind", "fp"])), materialize(M.masks_of(rep, ["kind", "fp"]))
+        tones, masks, new = at_once(self.spark, [
+            lambda: materialize(M.tones_of(rep, ["kind", "fp"])), lambda: materialize(M.masks_of(rep, ["kind", "fp"])),
+            lambda: materialize(groups.join(self.table("contents").select("kind", "fp"), ["kind", "fp"], "left_anti").select("kind", "fp"))])
 
-        new = materialize(groups.join(self.table("contents").select("kind", "fp"), ["kind", "fp"], "left_anti").select("kind", "fp"))
         fresh = rep.join(M.merged(new), ["kind", "fp"]).where(F.col("bits").isNotNull())
         values = M.distinct_values(self._dealt(fresh, "bits"), KIND).join(self.table("frames").select("kind", "bits"), ["kind", "bits"], "left_anti")
-        self._add("bands", values.select("kind", "bits", F.explode(M.band_keys(F.col("bits"))).alias("key")))
-        self._add("frames", fresh)
-        self._add("groups", groups)
+        # the files of known values are listed before those of this batch are among them
+        bands = materialize(values.select("kind", "bits", F.explode(M.band_keys(F.col("bits"))).alias("key")))
         known = self.table("mask_rows").select("kind", "h_mask")
-        self._add("mask_rows", M.mask_rows_of(rep, masks, KIND, "fp").join(known, ["kind", "h_mask"], "left_anti"))
-        self._add("mask_claims", M.mask_claims_of(masks, groups, KIND, "fp"))
-        self._add("class_claims", M.class_claims_of(tones, groups, KIND, "fp"))
-        self._add("end_claims", M.end_claims_of(rep, groups, KIND, "fp"))
+        added = {"bands": bands, "frames": fresh, "groups": groups,
+                 "mask_rows": M.mask_rows_of(rep, masks, KIND, "fp").join(known, ["kind", "h_mask"], "left_anti"),
+                 "mask_claims": M.mask_claims_of(masks, groups, KIND, "fp"), "class_claims": M.class_claims_of(tones, groups, KIND, "fp"),
+                 "end_claims": M.end_claims_of(rep, groups, KIND, "fp")}
+        at_once(self.spark, [lambda n=n, r=r: self._add(n, r) for n, r in added.items()])
         self._add("contents", new.join(tones, ["kind", "fp"], "left").join(masks, ["kind", "fp"], "left"))
 
     def compact(self, buckets: int | None = None) -> None:
@@ -137,9 +138,8 @@ class MatchIndex:
         self.refresh()
         buckets, folder = buckets or self.buckets, f"{self.path}/versions/{uuid.uuid4().hex}"
         name = self._open(folder, buckets)
-        for table, (_, _, keys) in TABLES.items():
-            rows = self.table(table)
-            self._insert(name, buckets, table, folded(rows, keys) if keys else rows.distinct())
+        kept = {t: folded(self.table(t), keys) if keys else self.table(t).distinct() for t, (_, _, keys) in TABLES.items()}
+        at_once(self.spark, [lambda t=t, r=r: self._insert(name, buckets, t, r) for t, r in kept.items()])
         self._commit(self.version + 1, folder, buckets)
         self.refresh()
 
@@ -157,15 +157,20 @@ class MatchIndex:
 
     def sides(self, incoming: M.Prepared, columns: list[str] | tuple[str, ...]) -> list[M.Side]:
         """(incoming, stored side, value pairs) per hash type, for the rules."""
-        pairs = materialize(self.pairs(incoming))
-        frames = materialize(self.touched(pairs))
-        fps = self._dealt(frames.select("kind", F.col("h_fp").alias("fp")), "fp").distinct()
-        of_touched = lambda name: self.table(name).join(M.merged(fps), ["kind", "fp"], "left_semi")
-        groups = materialize(folded(of_touched("groups"), TABLES["groups"][2]))
-        contents = materialize(of_touched("contents").distinct().where("h_mask is not null"))
-        small = {name: materialize(folded(self.table(name), keys)) for name, keys in
-                 ((n, TABLES[n][2]) for n in ("mask_claims", "class_claims", "end_claims"))}
-        rows = self.table("mask_rows").distinct()
+        def met() -> tuple[DataFrame, ...]:
+            pairs = materialize(self.pairs(incoming))
+            frames = materialize(self.touched(pairs))
+            fps = self._dealt(frames.select("kind", F.col("h_fp").alias("fp")), "fp").distinct()
+            of_touched = lambda name: self.table(name).join(M.merged(fps), ["kind", "fp"], "left_semi")
+            return pairs, frames, *at_once(self.spark, [
+                lambda: materialize(folded(of_touched("groups"), TABLES["groups"][2])),
+                lambda: materialize(of_touched("contents").distinct().where("h_mask is not null"))])
+
+        names = ["mask_claims", "class_claims", "end_claims"]
+        (pairs, frames, groups, contents), rows, *few = at_once(self.spark, [
+            met, lambda: materialize(self.table("mask_rows").distinct()),
+            *[lambda n=n: materialize(folded(self.table(n), TABLES[n][2])) for n in names]])
+        small = dict(zip(names, few))
 
         def stored(kind: str) -> M.Stored:
             of = lambda df: M.merged(df.where(F.col("kind") == kind).drop("kind"))
